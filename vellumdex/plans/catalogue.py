@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellumdex.plans import incremental_queries
+from vellumdex.plans import incremental_queries, retrieval_queries
 
-QUERIES = {**incremental_queries.QUERIES}
-ORACLES = {**incremental_queries.ORACLES}
+QUERIES = {**retrieval_queries.QUERIES, **incremental_queries.QUERIES}
+ORACLES = {**retrieval_queries.ORACLES, **incremental_queries.ORACLES}

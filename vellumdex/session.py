@@ -50,6 +50,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as compressed Parquet in the shared folder and read back.
+
+    Where many rows are used several times, this is smaller on disk than a checkpoint and
+    lets each reader prune columns and rows. The folder goes with the shared folder.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def publish_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Writes ``data`` once to the shared folder and registers it with Spark's file server.
 
