@@ -30,6 +30,8 @@ FIT_CHARS = 4000
 #: What a sentence in another language than its document needs: mean places nearer per n-gram, and words.
 FOREIGN_MARGIN = 90.0
 LEAST_WORDS = 3
+#: Bytes of text that are ranked together; the sorted arrays then fit into a core's cache.
+RANKED_BYTES = 256 << 10
 #: Distinct words whose n-grams a worker keeps before it starts anew.
 MEMO_WORDS = 300_000
 
@@ -71,8 +73,10 @@ def _blank(m: re.Match) -> str:
 def masked(text: str) -> str:
     """``text`` with everything that is no running text blanked, all places kept."""
     for signs, rule in _MASKS:
-        if any(sign in text for sign in signs):
-            text = rule.sub(_blank, text)
+        for sign in signs:
+            if sign in text:
+                text = rule.sub(_blank, text)
+                break
     return text
 
 
@@ -339,7 +343,7 @@ def identify_languages(documents: DataFrame, profiles: Profiles, key: str = "doc
         if (stored := _profiles.get(hash(table))) is None:
             _profiles.clear()
             stored = _profiles[hash(table)] = Profiles.loads(table)
-        for batch in bounded(batches, 2):
+        for batch in bounded(batches, 2, RANKED_BYTES):
             rows, columns = [], [[] for _ in range(7)]
             for i, (lang, sure, passages) in enumerate(passages_of(batch.column(2).to_pylist(), stored, margin)):
                 for a, b, g, c, w in passages or [(None, None, None, 0.0, 0)]:
