@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumdex.functions.text import fold
-from vellumdex.session import materialize
+from vellumdex.session import materialize, written
 
 # Terms of visible ASCII and Chinese characters, for which lower() is the whole normalization.
 PLAIN_TERM = r"^[!-~一-鿿]+\z"
@@ -81,11 +81,10 @@ def heavy_terms(rows: DataFrame, part: float = HEAVY_PART) -> list[str]:
         kept = [(t, n) for t, n in counters.items() if n >= total * part / 4]
         yield pa.record_batch([pa.array([None, *[t for t, _ in kept]], pa.string()), pa.array([total, *[n for _, n in kept]], pa.int64())], ["term", "n"])
 
-    partial = rows.select("term").mapInArrow(sketch, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    most = int(2 / part)
-    found = partial.orderBy(F.col("term").isNotNull(), F.desc("n"), "term").limit(most + 1).collect()
-    total = next((r["n"] for r in found if r["term"] is None), 0)
-    return [r["term"] for r in found if r["term"] is not None and r["n"] >= max(2, total * part / 2)]
+    sketched = materialize(rows.select("term").mapInArrow(sketch, "term string, n bigint"))
+    total = sketched.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    summed = sketched.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
+    return sorted(r["term"] for r in summed.where(F.col("n") >= max(2, total * part / 2)).collect())
 
 
 def term_frequencies(postings: DataFrame, heavy: list[str]) -> DataFrame:
@@ -147,10 +146,10 @@ def distinctive_terms(terms: DataFrame, records: DataFrame, prior_weight: float
     Terms above ``HEAVY_PART`` get their counts from a broadcast table, which their
     number bounds, and are never shuffled by term; the others are joined by term.
     """
-    postings = clean_postings(terms, records, **names)
+    postings = written(clean_postings(terms, records, **names))
     raw = terms.select(F.lower(names.get("term", "term")).alias("term")).where("term is not null")
     heavy = heavy_terms(raw)
-    counts = materialize(term_frequencies(postings, heavy).drop("heavy"))
+    counts = written(term_frequencies(postings, heavy).drop("heavy"))
     lengths = postings.groupBy("record").agg(F.sum("tf").alias("length"))
     rows = postings.join(lengths, "record")
     spark = terms.sparkSession
