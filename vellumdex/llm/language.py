@@ -27,8 +27,9 @@ SHORTEST, LONGEST = 2, 4
 #: The fit reads this many labelled documents of each language at most.
 FIT_DOCUMENTS = 300
 FIT_CHARS = 4000
-#: What a sentence in another language than its document needs: mean places nearer per n-gram, and words.
-FOREIGN_MARGIN = 90.0
+#: What a sentence in another language than its document needs: how much nearer it lies on average, as a part
+#: of the profiles' length, and words.
+FOREIGN_MARGIN = 0.03
 LEAST_WORDS = 3
 #: Bytes of text that are ranked together; the sorted arrays then fit into a core's cache.
 RANKED_BYTES = 256 << 10
@@ -278,7 +279,7 @@ def passages_of(texts: list[str | None], profiles: Profiles, margin: float = FOR
 
     A passage is ``start, end, language, confidence, whole sentences``. The document's
     language is that nearest to all its running text. A sentence keeps it unless another
-    profile is nearer by ``margin`` places per n-gram; neighbouring sentences of one language
+    profile is nearer by ``margin``, a part of the profiles' length; neighbouring sentences of one language
     make one passage. Fewer than ``least`` words are no sentence.
     """
     split = [sentences(t) if t else [] for t in texts]
@@ -291,7 +292,7 @@ def passages_of(texts: list[str | None], profiles: Profiles, margin: float = FOR
     main, best = whole.argmin(axis=1), far.argmin(axis=1)
     base = main[groups]
     rows = np.arange(len(far))
-    foreign = (best != base) & (words >= least) & (far[rows, base] - far[rows, best] >= margin)
+    foreign = (best != base) & (words >= least) & (far[rows, base] - far[rows, best] >= margin * profiles.absent)
     lang = np.where(foreign, best, base)
     sure, sure_main = _confidence(far, lang).tolist(), _confidence(whole, main).tolist()
     spoken = (np.bincount(groups, weights=words, minlength=len(texts)) > 0) & (whole.min(axis=1) < profiles.absent)

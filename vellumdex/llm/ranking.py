@@ -50,20 +50,27 @@ def rank_transform(rows: DataFrame, group: str, item: str, signals: Mapping[str,
     counts = long.groupBy("grp", "signal", "value").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("grp", "signal").agg(F.sum("n").alias("size"), F.count("value").alias("distinct"))
     large = sizes.where(F.col("distinct") > bucket_rows).select("grp", "signal")
+    def beside(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        """A join in which null groups are equal."""
+        right = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        joined = rows.join(right, on, how)
+        return joined if how == "left_semi" else joined.drop(*[f"_{k}" for k in keys])
+
     if large.isEmpty():
         bucketed = counts.withColumn("bucket", F.lit(0))
     else:
-        edges = counts.join(large, ["grp", "signal"], "left_semi").where("value is not null").groupBy("grp", "signal").agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 10_000).alias("edges"))
+        edges = beside(counts, large, ["grp", "signal"], "left_semi").where("value is not null").groupBy("grp", "signal").agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 10_000).alias("edges"))
         place = F.when(F.col("edges").isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e < F.col("value"))))
-        bucketed = counts.join(edges, ["grp", "signal"], "left").withColumn("bucket", F.coalesce(place, F.lit(0))).drop("edges")
+        bucketed = beside(counts, edges, ["grp", "signal"], "left").withColumn("bucket", F.coalesce(place, F.lit(0))).drop("edges")
     within = Window.partitionBy("grp", "signal", "bucket").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, -1)
     ranked = bucketed.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
     if not large.isEmpty():
         totals = bucketed.groupBy("grp", "signal", "bucket").agg(F.sum("n").alias("m"))
         before = Window.partitionBy("grp", "signal").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select("grp", "signal", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("lower"))
-        ranked = ranked.join(offsets, ["grp", "signal", "bucket"]).withColumn("below", F.col("below") + F.col("lower"))
-    placed = ranked.join(sizes, ["grp", "signal"]).select(
+        ranked = beside(ranked, offsets, ["grp", "signal", "bucket"]).withColumn("below", F.col("below") + F.col("lower"))
+    placed = beside(ranked, sizes, ["grp", "signal"]).select(
         "grp", "signal", "value",
         F.when(F.col("value").isNull() | (F.col("size") < 2), 0.0).otherwise((F.col("below") + (F.col("n") - 1) / 2) / (F.col("size") - 1)).alias("rank"),
     )

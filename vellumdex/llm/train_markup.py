@@ -1,7 +1,7 @@
-"""Fits the block labeller: ``python -m vellumdex.llm.train_markup CHUNKS.parquet``.
+"""Fits the block labeller: ``python -m vellumdex.llm.train_markup CHUNKS.parquet DOCUMENTS.parquet``.
 
-The fit reads at most ``--most`` chunks that hold some sign, chosen by a hash of their text, and a
-tenth as many without. Their lines are labelled by the rules; a fifth is held out, and the labeller's agreement with
+The fit reads at most ``--most`` texts of chunks and documents that hold some sign, chosen by a hash
+of the text, and a tenth as many without; documents still have their code blocks. Their lines are labelled by the rules; a fifth is held out, and the labeller's agreement with
 the rules on it is printed.
 """
 
@@ -23,12 +23,14 @@ def matrix(signs: list[set[str]]) -> np.ndarray:
 def main() -> None:
     parser = argparse.ArgumentParser()
     parser.add_argument("chunks")
+    parser.add_argument("documents")
     parser.add_argument("--most", type=int, default=5000)
     parser.add_argument("--epochs", type=int, default=6)
     parser.add_argument("--out", default=markup.WEIGHTS)
     args = parser.parse_args()
     rows = pq.read_table(args.chunks, columns=["text", "search_text", "chunk_type"]).to_pylist()
     texts = {t for r in rows if r["chunk_type"] == "text" for t in (r["text"], r["search_text"]) if t}
+    texts |= {t for t in pq.read_table(args.documents, columns=["text"]).column(0).to_pylist() if t}
     order = sorted(texts, key=lambda t: (zlib.crc32(t.encode()), t))
     marked = [t for t in order if any(markup_rules.line_signs(t.split("\n")))][: args.most]
     plain = [t for t in order if markup_rules.ANY_SIGN.search(t) and not any(markup_rules.line_signs(t.split("\n")))][: args.most // 10]
