@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumdex.functions.text import CJK_RUN_RE, WORD_RE, fold
 
@@ -253,7 +254,7 @@ def rerank_scores(rows: DataFrame, reranker: Reranker, query: str = "query", tex
 
     Rows are the candidates of a search, of which there are at most a few dozen for a query.
     """
-    schema = rows.schema.add("rerank_score", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("rerank_score", T.DoubleType())])
 
     def score(group: pa.Table) -> pa.Table:
         texts = ["" if t is None else t for t in group.column(text).to_pylist()]

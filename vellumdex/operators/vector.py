@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries that go through the vectors together; a block's matrix is at most 8 MB at 1024 dimensions.
 QUERY_BLOCK = 1024
@@ -76,10 +78,10 @@ def vector_batch_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, key:
     for row in rows:
         block.append(row)
         if len(block) == QUERY_BLOCK:
-            blocks.append(_block_topk(vectors, block, k, key, vector, digits, queries.schema[query_id].dataType.simpleString()))
+            blocks.append(_block_topk(vectors, block, k, key, vector, digits, queries.schema[query_id].dataType))
             block = []
     if block or not blocks:
-        blocks.append(_block_topk(vectors, block, k, key, vector, digits, queries.schema[query_id].dataType.simpleString()))
+        blocks.append(_block_topk(vectors, block, k, key, vector, digits, queries.schema[query_id].dataType))
     for part in blocks:
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
@@ -87,9 +89,10 @@ def vector_batch_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, key:
     return ranked.withColumnRenamed("query_id", query_id)
 
 
-def _block_topk(vectors: DataFrame, block: list, k: int, key: str, vector: str, digits: int, kind: str) -> DataFrame:
+def _block_topk(vectors: DataFrame, block: list, k: int, key: str, vector: str, digits: int, kind: T.DataType) -> DataFrame:
     ids = [r["query_id"] for r in block]
-    matrix = np.array([r["v"] for r in block], np.float64).reshape(len(block), -1)
+    matrix = np.array([r["v"] for r in block], np.float64) if block else np.zeros((0, 0))
+    arrow = to_arrow_type(kind)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,13 +108,13 @@ def _block_topk(vectors: DataFrame, block: list, k: int, key: str, vector: str,
             rows = np.arange(len(ids))[:, None]
             width = order.shape[1]
             yield pa.record_batch(
-                [pa.array([q for q in ids for _ in range(width)]), batch.column(0).take(pa.array(order.ravel())), pa.array(scores[rows, order].ravel())],
+                [pa.array([q for q in ids for _ in range(width)], arrow), batch.column(0).take(pa.array(order.ravel())), pa.array(scores[rows, order].ravel())],
                 ["query_id", "key", "score"],
             )
 
     stored_kind = vectors.schema[key].dataType.simpleString()
     chosen = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    return chosen.mapInArrow(search, f"query_id {kind}, key {stored_kind}, score double").withColumnRenamed("key", key)
+    return chosen.mapInArrow(search, f"query_id {kind.simpleString()}, key {stored_kind}, score double").withColumnRenamed("key", key)
 
 
 def checked_vectors(chunks: DataFrame, cache: DataFrame, model: str | None = None, key: str = "id") -> DataFrame:

@@ -46,7 +46,7 @@ def scan_markdown(spark: SparkSession, root: str, mask: str = "*.md") -> DataFra
     rows = reader.load(root).select(path.alias("source_path"), "modificationTime", "content")
     shown = rows.withColumn("relative_path", F.when(F.col("source_path").startswith(base), F.expr(f"substring(source_path, {len(base) + 1})")).otherwise(F.regexp_extract("source_path", r"([^/]*)$", 1)))
     kept = shown.where(~F.col("relative_path").rlike(r"(^|/)\."))
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     return kept.select("source_path", "relative_path", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), text.alias("text"))
 
 

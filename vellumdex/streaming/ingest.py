@@ -25,7 +25,7 @@ def file_stream(spark: SparkSession, root: str, mask: str = "*.md", per_batch: i
     rows = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", mask.rpartition("/")[2]).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     base = root.removeprefix("file://").rstrip("/") + "/"
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     return rows.select(path.alias("source_path"), F.replace(path, F.lit(base), F.lit("")).alias("relative_path"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), text.alias("text"))
 
 
