@@ -74,14 +74,15 @@ def bm25_scores(terms: DataFrame, postings: DataFrame, chunks: DataFrame, freque
     hang on the order of a sum. Postings are narrowed to the queries' terms before
     anything else; which side of that join is broadcast, Spark decides by size.
     """
-    frequencies = document_frequencies(postings) if frequencies is None else frequencies
     scalars = corpus_scalars(chunks) if scalars is None else scalars
     asked = terms.select(query_id, "term").distinct()
     kept = chunks.select(key, "token_count", "collection_id")
     if collections:
         kept = kept.where(F.col("collection_id").isin(list(collections)))
     wanted = asked.select("term").distinct()
-    found = postings.join(wanted, "term", "left_semi").join(frequencies.join(wanted, "term", "left_semi"), "term")
+    narrowed = postings.join(wanted, "term", "left_semi")
+    known = document_frequencies(narrowed) if frequencies is None else frequencies.join(wanted, "term", "left_semi")
+    found = narrowed.join(known, "term")
     parts = found.join(kept.where("token_count is not null"), key).join(F.broadcast(scalars)).where("doc_count > 0 and avgdl > 0")
     weight = bm25_weight(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("token_count").cast("double"), F.col("doc_count").cast("double"), F.col("avgdl"))
     weighed = parts.select(key, "term", weight.alias("w")).where("w is not null")
@@ -101,6 +102,8 @@ def top_k(scores: DataFrame, k: int, query_id: str = "query_id", key: str = "id"
 def bm25_topk(spark, query: str, postings: DataFrame, chunks: DataFrame, k: int = 20, collections: Sequence[str] | None = None, key: str = "id", **tables: DataFrame) -> DataFrame:
     """``key, score, rank`` of one query; empty for a query without tokens."""
     tokens = tx.query_tokens(query)
-    terms = spark.createDataFrame([(0, t) for t in tokens], "query_id int, term string")
+    listed = F.array(*[F.lit(t) for t in tokens]).cast("array<string>")
+    terms = spark.range(1).select(F.lit(0).alias("query_id"), F.explode(listed).alias("term"))  # of known size, unlike a local list
+    postings = postings.where(F.col("term").isin(tokens))  # literals reach the scan, a join would not
     best = bm25_scores(terms, postings, chunks, collections=collections, key=key, **tables).orderBy(F.desc("score"), key).limit(k)
     return top_k(best, k, key=key).drop("query_id")
