@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +25,9 @@ def build_session(app: str = "vellumdex", cores: str | int = "*", **conf: str) -
         "spark.ui.showConsoleProgress": "false",
     } | {k: str(v) for k, v in conf.items()}
     builder = SparkSession.builder.appName(app).master(f"local[{cores}]")
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,6 +88,29 @@ def publish_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     return name
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to all Python workers, wherever they run and whatever their path is."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if not name.endswith(".pyc"):
+                    path = os.path.join(folder, name)
+                    archive.writestr(zipfile.ZipInfo(os.path.join(os.path.basename(root), os.path.relpath(path, root))), open(path, "rb").read())
+    data = buffer.getvalue()
+    name = f"vellumdex-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    publish_bytes(spark, data, name)
+    context.addPyFile(f"{shared_dir(spark)}/files/{name}")
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (a file or a folder of part files)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
