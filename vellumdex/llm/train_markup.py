@@ -26,7 +26,6 @@ def main() -> None:
     parser.add_argument("documents")
     parser.add_argument("--most", type=int, default=5000)
     parser.add_argument("--epochs", type=int, default=6)
-    parser.add_argument("--out", default=markup.WEIGHTS)
     args = parser.parse_args()
     rows = pq.read_table(args.chunks, columns=["text", "search_text", "chunk_type"]).to_pylist()
     texts = {t for r in rows if r["chunk_type"] == "text" for t in (r["text"], r["search_text"]) if t}
@@ -39,8 +38,8 @@ def main() -> None:
     truth = [matrix(markup_rules.line_signs(x)) for x in lines]
     cut = len(lines) * 4 // 5
     model = markup.train(lines[:cut], truth[:cut], args.epochs)
-    model.save(args.out)
-    model = markup.BlockLabeller.load(args.out)
+    model.save()
+    model = markup.BlockLabeller.load()
     features = markup.Features()
     held = lines[cut:]
     blocks = [b for x in held for b in features.of(x, markup_rules.tag_paths(x))]
