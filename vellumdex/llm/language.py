@@ -165,18 +165,20 @@ class Profiles:
         codes = np.array(codes_of, np.int64)
         grams = [self.grams(w) for w in index]
         length = np.fromiter(map(len, grams), np.int64, len(grams))
-        pool = np.array([g for gs in grams for g in gs], np.int64)
+        width = len(self.number)
+        small = np.int32 if n * width < 2**31 else np.int64
+        pool = np.array([g for gs in grams for g in gs], small)
         first = np.cumsum(length) - length
         size = length[codes]
         ends = np.cumsum(size)
         if not ends[-1]:
             return nothing
-        width = len(self.number)
-        spread = np.repeat(np.stack([first[codes] - (ends - size), np.repeat(np.arange(n) * width, n_words)]), size, axis=1)
-        keys = np.sort(spread[1] + pool[spread[0] + np.arange(ends[-1])])
+        place = np.arange(ends[-1]) + np.repeat(first[codes] - (ends - size), size)
+        keys = pool[place] + np.repeat(np.repeat((np.arange(n) * width).astype(small), n_words), size)
+        keys.sort()
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         count = np.diff(np.append(start, len(keys)))
-        keys = keys[start]
+        keys = keys[start].astype(np.int64)
         far, words = nothing[0], np.array(n_words)
         self._out_of_place(keys, count, far)
         # a profile of the other kind of script is out of the question
@@ -189,8 +191,8 @@ class Profiles:
             return far, words, nothing[2]
         text = keys // width
         merged = groups[text] * width + (keys - text * width)
-        order = np.argsort(merged, kind="stable")
-        merged, count = merged[order], count[order]
+        packed = np.sort(merged << 20 | np.minimum(count, (1 << 20) - 1))  # sorting numbers is faster than sorting places
+        merged, count = packed >> 20, packed & ((1 << 20) - 1)
         start = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         self._out_of_place(merged[start], np.add.reduceat(count, start), nothing[2])
         return far, words, nothing[2]
@@ -221,17 +223,24 @@ def fit_profiles(labelled: Iterable[tuple[str, str]], rounds: int = 2, size: int
     profile of their own label.
     """
     known = [(lang, piece) for lang, text in labelled for _, _, piece, whole in sentences(text) if whole]
+    words = [WORD.findall(piece) for _, piece in known]
     keep = np.ones(len(known), bool)
     profiles = Profiles({})
     for _ in range(rounds + 1):
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for (lang, piece), kept in zip(known, keep):
+        spoken: dict[str, Counter] = defaultdict(Counter)
+        for (lang, _), found, kept in zip(known, words, keep):
             if kept:
-                for word in WORD.findall(piece):
-                    counts[lang].update(word_ngrams(word))
-        profiles = Profiles({lang: profile_of(c, size) for lang, c in counts.items()})
+                spoken[lang].update(found)
+        ranked = {}
+        for lang, of in spoken.items():
+            counts: Counter = Counter()
+            for word, n in of.items():
+                for gram in word_ngrams(word):
+                    counts[gram] += n
+            ranked[lang] = profile_of(counts, size)
+        profiles = Profiles(ranked)
         if known and profiles.languages:
-            far = np.concatenate([profiles.distances([p for _, p in known[i : i + 20_000]])[0] for i in range(0, len(known), 20_000)])
+            far = np.concatenate([profiles.distances([p for _, p in known[i : i + 2000]])[0] for i in range(0, len(known), 2000)])
             keep = np.array([profiles.languages[j] == lang for j, (lang, _) in zip(far.argmin(axis=1), known)])
     return profiles
 
