@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumdex.llm.batches import bounded
@@ -261,26 +261,27 @@ def language_codes(lang_codes: DataFrame) -> list[tuple[str, str, str]]:
 
 
 def fit_from_documents(documents: DataFrame, codes: list[tuple[str, str, str]], key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = FIT_DOCUMENTS) -> Profiles:
-    """Profiles fitted on at most ``most`` labelled documents of each language, chosen by a hash of the key.
+    """Profiles fitted on at most ``most`` labelled documents of each language, those of the smallest hashes of the key.
 
-    The choice is an aggregation over all documents that keeps the smallest hashes; only
-    the chosen texts, cut to ``FIT_CHARS`` characters for the fit, come to the driver.
+    One aggregation counts each language's documents; from the counts follows how small a
+    hash must be so that a few more than ``most`` pass. Only these, cut to ``FIT_CHARS``
+    characters for the fit, come to the driver, at any size of the corpus.
     """
     label = label_code(F.col(lang), codes)
-    place = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_003))
-    marked = documents.select(F.col(key).alias("k"), label.alias("lang"), place.alias("place")).where("lang is not null")
-    bins = marked.groupBy("lang", F.floor(F.col("place") / 250).alias("bin")).count()
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    limit = bins.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < most).groupBy("lang").agg(F.max("bin").alias("last"))
-    edges = {r["lang"]: (r["last"] + 1) * 250 for r in limit.collect()}
-    if not edges:
+    space = 1 << 40
+    place = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(space))
+    usable = documents.where(F.col(text).isNotNull()).select(label.alias("lang"), place.alias("place"), F.substring(F.col(text), 1, FIT_CHARS).alias("text"))
+    counts = {r["lang"]: r["count"] for r in usable.where("lang is not null").groupBy("lang").count().collect()}
+    if not counts:
         return Profiles({})
+    wanted = most + 5 * most**0.5
     chosen = F.lit(False)
-    for name, edge in edges.items():
-        chosen = chosen | ((label == name) & (place < edge))
-    sample = documents.where(chosen & F.col(text).isNotNull()).select(label.alias("lang"), F.substring(F.col(text), 1, FIT_CHARS).alias("text"), F.col(key).alias("k"))
-    rows = sample.orderBy("lang", F.xxhash64(F.lit(11), "k"), "k").limit(2 * most * len(codes)).collect()
-    return fit_profiles((r["lang"], r["text"]) for r in rows)
+    for name, n in counts.items():
+        chosen = chosen | ((F.col("lang") == name) & (F.col("place") < int(space * min(1.0, wanted / n))))
+    by_lang: dict[str, list] = defaultdict(list)
+    for r in usable.where(chosen).collect():
+        by_lang[r["lang"]].append((r["place"], r["text"]))
+    return fit_profiles((name, t) for name in sorted(by_lang) for _, t in sorted(by_lang[name])[:most])
 
 
 def passages_of(texts: list[str | None], profiles: Profiles, margin: float = FOREIGN_MARGIN, least: int = LEAST_WORDS) -> list[tuple[str | None, float, list[tuple[int, int, str, float, int]]]]:
@@ -289,7 +290,8 @@ def passages_of(texts: list[str | None], profiles: Profiles, margin: float = FOR
     A passage is ``start, end, language, confidence, whole sentences``. The document's
     language is that nearest to all its running text. A sentence keeps it unless another
     profile is nearer by ``margin``, a part of the profiles' length; neighbouring sentences of one language
-    make one passage. Fewer than ``least`` words are no sentence.
+    make one passage. Between two about equally near languages the one decides that other
+    foreign sentences of the text clearly speak. Fewer than ``least`` words are no sentence.
     """
     split = [sentences(t) if t else [] for t in texts]
     number = np.array([len(found) for found in split], np.int64)
@@ -303,6 +305,15 @@ def passages_of(texts: list[str | None], profiles: Profiles, margin: float = FOR
     rows = np.arange(len(far))
     foreign = (best != base) & (words >= least) & (far[rows, base] - far[rows, best] >= margin * profiles.absent)
     lang = np.where(foreign, best, base)
+    # a foreign sentence that lies about as near to two languages takes the one that other sentences clearly speak
+    near = far <= far[rows, best][:, None] + margin * profiles.absent
+    unclear = foreign & (near.sum(axis=1) > 1)
+    clear = np.zeros((len(texts), far.shape[1]), bool)
+    sure_of = foreign & ~unclear
+    clear[groups[sure_of], best[sure_of]] = True
+    heard = near & clear[groups] & unclear[:, None]
+    better = heard.any(axis=1)
+    lang[better] = np.where(heard[better], far[better], np.inf).argmin(axis=1)
     sure, sure_main = _confidence(far, lang).tolist(), _confidence(whole, main).tolist()
     spoken = (np.bincount(groups, weights=words, minlength=len(texts)) > 0) & (whole.min(axis=1) < profiles.absent)
     lang, complete = lang.tolist(), (words >= least).tolist()
