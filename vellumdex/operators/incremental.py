@@ -61,15 +61,16 @@ def changed_records(records: DataFrame, log: DataFrame, runs: DataFrame, bound:
     not matter, and a missing source hash stands for the hash of the text. Hashes that are
     null on both sides are equal. Other columns decide nothing. Without a successful run all records
     are new; records with a null key are always new; logged records that are gone are no
-    changes; repeated rows stay repeated.
+    changes; repeated rows stay repeated. A column of the records that is called ``change`` is
+    replaced; all others are kept.
     """
     bound = run_bound(runs) if bound is None else bound
-    last = last_logged(log, runs, bound, key).select(F.col(key).alias("_key"), F.col("source_hash").alias("_source"), F.col("context_hash").alias("_context"), F.col("run_id").alias("_run"))
+    last = last_logged(log, runs, bound, key).select(F.col(key).alias("_logged_key"), F.col("source_hash").alias("_logged_source"), F.col("context_hash").alias("_logged_context"), F.col("run_id").alias("_logged_run"))
     own = clean_hash(F.coalesce(F.col("source_hash"), sha256_hex(F.col(text))))
-    same = own.eqNullSafe(F.col("_source")) & clean_hash("context_hash").eqNullSafe(F.col("_context"))
-    joined = records.join(last, records[key] == F.col("_key"), "left")
-    change = F.when(F.col("_run").isNull(), "new").when(~same, "changed")
-    return joined.withColumn("change", change).where("change is not null").drop("_key", "_source", "_context", "_run")
+    same = own.eqNullSafe(F.col("_logged_source")) & clean_hash("context_hash").eqNullSafe(F.col("_logged_context"))
+    joined = records.join(last, records[key] == F.col("_logged_key"), "left")
+    change = F.when(F.col("_logged_run").isNull(), "new").when(~same, "changed")
+    return joined.withColumn("change", change).where("change is not null").drop("_logged_key", "_logged_source", "_logged_context", "_logged_run")
 
 
 class CommitConflict(RuntimeError):
