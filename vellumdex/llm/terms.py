@@ -88,7 +88,7 @@ def heavy_terms(rows: DataFrame, part: float = HEAVY_PART) -> list[str]:
 
 
 def term_frequencies(postings: DataFrame, heavy: list[str]) -> DataFrame:
-    """``term, df, cf, heavy``: in how many records each term occurs and how often in all.
+    """``term, df, cf``: in how many records each term occurs and how often in all.
 
     ``postings`` has one row per record and term. Rows of heavy terms are counted in one
     array per task and only the arrays' sums are shuffled; the rows of the other terms are
@@ -110,12 +110,7 @@ def term_frequencies(postings: DataFrame, heavy: list[str]) -> DataFrame:
         yield pa.record_batch([names, pa.array(df), pa.array(cf)], ["term", "df", "cf"])
 
     counted = postings.select("term", "tf").mapInArrow(count, "term string, df bigint, cf bigint")
-    summed = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
-    return summed.withColumn("heavy", F.col("term").isin(heavy) if len(heavy) <= 16 else _in_list(heavy, F.col("term")))
-
-
-def _in_list(values: list[str], col):
-    return F.coalesce(F.array_contains(F.array(*[F.lit(v) for v in values]), col), F.lit(False))
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
 
 
 def term_counts(terms: DataFrame, records: DataFrame, rare_df: int = 2, common_part: float = 0.2, **names: str) -> DataFrame:
@@ -127,7 +122,7 @@ def term_counts(terms: DataFrame, records: DataFrame, rare_df: int = 2, common_p
     """
     postings = clean_postings(terms, records, **names)
     raw = terms.select(F.lower(names.get("term", "term")).alias("term")).where("term is not null")
-    counts = term_frequencies(postings, heavy_terms(raw)).drop("heavy")
+    counts = term_frequencies(postings, heavy_terms(raw))
     known = records.select(F.col(names.get("record_key", "id")).alias("id")).agg(F.count_distinct("id").alias("n"))
     mark = F.when(F.col("df") <= rare_df, "rare").when(F.col("df") > common_part * F.col("n"), "common")
     return counts.join(F.broadcast(known)).select("term", "df", "cf", mark.alias("mark"))
@@ -149,7 +144,7 @@ def distinctive_terms(terms: DataFrame, records: DataFrame, prior_weight: float
     postings = written(clean_postings(terms, records, **names))
     raw = terms.select(F.lower(names.get("term", "term")).alias("term")).where("term is not null")
     heavy = heavy_terms(raw)
-    counts = written(term_frequencies(postings, heavy).drop("heavy"))
+    counts = written(term_frequencies(postings, heavy))
     lengths = postings.groupBy("record").agg(F.sum("tf").alias("length"))
     rows = postings.join(lengths, "record")
     spark = terms.sparkSession
