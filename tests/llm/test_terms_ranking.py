@@ -131,5 +131,8 @@ def test_fused_edge_cases(spark):
     assert fused.count() == 9
     first = {r["query_id"]: r["chunk_rowid"] for r in R.first_of_group(fused).collect()}
     assert first == {1: 5, 2: 8, None: 9, 3: 10, 4: 12}
+    for bucket in (100_000, 1):
+        ranks = {(r["query_id"], r["chunk_rowid"]): r["rank"] for r in R.with_rank(fused, bucket_rows=bucket).collect()}
+        assert ranks == {(1, 5): 1, (1, 7): 2, (1, 6): 3, (2, 8): 1, (None, 9): 1, (3, 10): 1, (3, 11): 1, (4, 12): 1, (4, 13): 2}
     empty = R.fuse_rankings(spark.createDataFrame([], RESULT))
     assert empty.count() == 0 and R.first_of_group(empty).count() == 0

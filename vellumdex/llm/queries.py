@@ -40,8 +40,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every result with its rank-transformed scores and the fused score."""
-    return ranking.fuse_rankings(table(spark, sf_dir, "search_results"))
+    """Every result with its rank-transformed scores, the fused score and its rank in the query."""
+    return ranking.with_rank(ranking.fuse_rankings(table(spark, sf_dir, "search_results")))
 
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,52 +34,65 @@ def deduplicated(rows: DataFrame, group: str, item: str, signals: Sequence[str],
     return best.select(group, item, *[F.col(f"_best.{s}").alias(s) for s in signals])
 
 
+def _beside(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal."""
+    right = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    joined = rows.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
+    return joined if how == "left_semi" else joined.drop(*[f"_{k}" for k in keys])
+
+
+def counts_below(long: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``grp, signal, value, n, below, size``: how often each value occurs in its group, and how many lie below it.
+
+    Rows ``grp, signal, value`` are first counted by value. A group with more distinct values
+    than ``bucket_rows`` is cut at its quantiles into buckets that are ranked apart and
+    offset by the counts below them, so that no group has to fit into one task. Null is
+    the least value.
+    """
+    keys = ["grp", "signal"]
+    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"), F.count("value").alias("distinct"))
+    large = sizes.where(F.col("distinct") > bucket_rows).select(*keys)
+    cut = not large.isEmpty()
+    if cut:
+        edges = _beside(counts, large, keys, "left_semi").where("value is not null").groupBy(*keys).agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 10_000).alias("edges"))
+        place = F.when(F.col("edges").isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e < F.col("value"))))
+        bucketed = _beside(counts, edges, keys, "left").withColumn("bucket", F.coalesce(place, F.lit(0))).drop("edges")
+    else:
+        bucketed = counts.withColumn("bucket", F.lit(0))
+    within = Window.partitionBy(*keys, "bucket").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bucketed.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    if cut:
+        totals = bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
+        before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*keys, "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("lower"))
+        ranked = _beside(ranked, offsets, [*keys, "bucket"]).withColumn("below", F.col("below") + F.col("lower"))
+    return _beside(ranked, sizes, keys).select(*keys, "value", "n", "below", "size")
+
+
 def rank_transform(rows: DataFrame, group: str, item: str, signals: Mapping[str, str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``group, item`` and for each score ``r_<score>`` from 0 (worst) to 1 (best).
 
     The mean rank of tied values over the group's size, counting what lies below. Null and
-    NaN take part as one tied worst value of rank 0. Rows are first counted by value; a
-    group with more distinct values than ``bucket_rows`` is cut at its quantiles into
-    buckets that are ranked apart and offset by the counts below them, so that no
-    group has to fit into one task.
+    NaN take part as one tied worst value of rank 0.
     """
     values = [F.when(F.col(s).isNull() | F.isnan(F.col(s).cast("double")), None).otherwise(F.col(s).cast("double") * (1 if way == "higher" else -1)) for s, way in signals.items()]
-    names = list(signals)
     pairs = F.array(*[F.struct(F.lit(i).alias("signal"), (v + F.lit(0.0)).alias("value")) for i, v in enumerate(values)])
     long = rows.select(F.col(group).alias("grp"), F.col(item).alias("item"), F.explode(pairs).alias("p")).select("grp", "item", "p.signal", "p.value")
-    counts = long.groupBy("grp", "signal", "value").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("grp", "signal").agg(F.sum("n").alias("size"), F.count("value").alias("distinct"))
-    large = sizes.where(F.col("distinct") > bucket_rows).select("grp", "signal")
-    def beside(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-        """A join in which null groups are equal."""
-        right = other.withColumnsRenamed({k: f"_{k}" for k in keys})
-        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        joined = rows.join(right, on, how)
-        return joined if how == "left_semi" else joined.drop(*[f"_{k}" for k in keys])
-
-    if large.isEmpty():
-        bucketed = counts.withColumn("bucket", F.lit(0))
-    else:
-        edges = beside(counts, large, ["grp", "signal"], "left_semi").where("value is not null").groupBy("grp", "signal").agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 10_000).alias("edges"))
-        place = F.when(F.col("edges").isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e < F.col("value"))))
-        bucketed = beside(counts, edges, ["grp", "signal"], "left").withColumn("bucket", F.coalesce(place, F.lit(0))).drop("edges")
-    within = Window.partitionBy("grp", "signal", "bucket").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bucketed.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    if not large.isEmpty():
-        totals = bucketed.groupBy("grp", "signal", "bucket").agg(F.sum("n").alias("m"))
-        before = Window.partitionBy("grp", "signal").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("grp", "signal", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("lower"))
-        ranked = beside(ranked, offsets, ["grp", "signal", "bucket"]).withColumn("below", F.col("below") + F.col("lower"))
-    placed = beside(ranked, sizes, ["grp", "signal"]).select(
-        "grp", "signal", "value",
-        F.when(F.col("value").isNull() | (F.col("size") < 2), 0.0).otherwise((F.col("below") + (F.col("n") - 1) / 2) / (F.col("size") - 1)).alias("rank"),
-    )
-    same = (F.col("a.grp").eqNullSafe(F.col("b.grp"))) & (F.col("a.signal") == F.col("b.signal")) & (F.col("a.value").eqNullSafe(F.col("b.value")))
-    joined = long.alias("a").join(placed.alias("b"), same).select("a.grp", "a.item", "a.signal", "b.rank")
-    wide = joined.groupBy("grp", "item").agg(*[F.max(F.when(F.col("signal") == i, F.col("rank"))).alias(f"r_{s}") for i, s in enumerate(names)])
+    mean = (F.col("below") + (F.col("n") - 1) / 2) / (F.col("size") - 1)
+    placed = counts_below(long, bucket_rows).select("grp", "signal", "value", F.when(F.col("value").isNull() | (F.col("size") < 2), 0.0).otherwise(mean).alias("rank"))
+    joined = _beside(long, placed, ["grp", "signal", "value"])
+    wide = joined.groupBy("grp", "item").agg(*[F.max(F.when(F.col("signal") == i, F.col("rank"))).alias(f"r_{s}") for i, s in enumerate(signals)])
     return wide.withColumnsRenamed({"grp": group, "item": item})
 
 
+def with_rank(fused: DataFrame, group: str = "query_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``fused`` with ``rank``: 1 for the best of a group; equal results share the smallest rank of theirs."""
+    long = fused.select(F.col(group).alias("grp"), F.lit(0).alias("signal"), F.col("fused").alias("value"))
+    placed = counts_below(long, bucket_rows).select(F.col("grp").alias(group), F.col("value").alias("fused"), (F.col("size") - F.col("below") - F.col("n") + 1).cast("int").alias("rank"))
+    return _beside(fused, placed, [group, "fused"])
+
+
 def principal_weights(ranks: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Loadings of the first principal component of the columns' correlation matrix.
 
