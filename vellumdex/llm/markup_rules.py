@@ -22,7 +22,7 @@ _TAG = rf"</?(?:{'|'.join(sorted(ELEMENTS, key=len, reverse=True))})(?:\s[^<>]*)
 HTML_SIGN = re.compile(rf"<!--|-->|<!DOCTYPE\b|{_TAG}|&(?:#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,9}});", re.I)
 LATEX_MATH = re.compile(r"\$\$[^$\n]+\$\$|\$\$\s*$|(?<![\\$\w])\$(?=[^\s$\d])[^$\n]{0,120}?(?<=[^\s\\$(])\$(?![\d$])|\\\[(?=[^\n]*[\\^_=])[^\n]*|^[^\n]*\\\]\s*$|\\\((?=[^\n]*[\\^_=])[^\n]*?\\\)")
 LATEX_SIGN = re.compile(r"(?<![\w:\\])\\(?:begin|end)\s*\{[^}\n]*\}(?:\{[^}\n]*\}|\[[^\]\n]*\])*|(?<![\w:\\/])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*|(?<=\w)\\(?:cite|ref|label|footnote|index|emph|text\w\w)\b\*?(?:\{[^{}\n]*\})+|(?<=\d)\\%|[ \w]&[ \w][^\n]*\\\\\s*$")
-WIKI_SIGN = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|(?<!')'{2,5}(?=[^'\s])[^\n]*?(?<=[^'\s])'{2,5}(?!')|^={2,6}[^=\n]+={2,6}\s*$|^\{\||^\|\}|^\|-(?:[^-|:]|$)|^![^\n]*!!|^\|[^|\n]*\|\||(?<!\w)__[A-Z]{3,}__(?!\w)|</?(?:nowiki|ref|gallery)\b")
+WIKI_SIGN = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|(?<!')'{2,5}(?=[^'\s])[^\n]*?(?<=[^'\s])'{2,5}(?!')|^={2,6}[^=\n]+={2,6}\s*$|^\{\||^\|\}|^\|-(?:[^-|:]|$)|^![^\n]*!!|^\|[^|\n]*\|\||^\s*__[A-Z]{3,}__\s*$|__(?:NO|FORCE)?TOC__|__NO(?:EDITSECTION|GALLERY|INDEX|TITLE)__|__INDEX__|</?(?:nowiki|ref|gallery)\b")
 MD_CODE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?[^`](?:\1)(?!`)")
 MD_FENCE = re.compile(r"^\s{0,3}(?:```+|~~~+)[^`\n]*$")
 MD_START = re.compile(

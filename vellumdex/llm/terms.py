@@ -153,11 +153,11 @@ def distinctive_terms(terms: DataFrame, records: DataFrame, prior_weight: float
     many = counts.join(F.broadcast(names_of), "term", "left_anti")
     marked = rows.join(F.broadcast(names_of.withColumn("is_heavy", F.lit(True))), "term", "left")
     joined = marked.where("is_heavy").drop("is_heavy").join(few, "term").unionByName(marked.where("is_heavy is null").drop("is_heavy").join(many, "term"))
-    whole = counts.agg(F.sum("cf").cast("double").alias("total"))
+    total = F.lit(float(counts.agg(F.sum("cf")).first()[0] or 0))
     weight = F.lit(float(prior_weight))
     inside, outside = F.col("tf") + weight * F.col("cf"), F.col("cf") - F.col("tf") + weight * F.col("cf")
-    against_in = F.col("length") + weight * F.col("total") - inside
-    against_out = F.col("total") - F.col("length") + weight * F.col("total") - outside
+    against_in = F.col("length") + weight * total - inside
+    against_out = total - F.col("length") + weight * total - outside
     log_odds = F.ln(F.try_divide(inside, against_in)) - F.ln(F.try_divide(outside, against_out))
-    scored = joined.join(F.broadcast(whole)).withColumn("log_odds", F.coalesce(log_odds, F.lit(0.0)))
+    scored = joined.withColumn("log_odds", F.coalesce(log_odds, F.lit(0.0)))
     return scored.select("record", "term", F.col("tf").cast("int").alias("tf"), "df", "cf", "log_odds", F.coalesce(F.col("log_odds") / F.sqrt(1 / inside + F.try_divide(F.lit(1.0), outside)), F.lit(0.0)).alias("z"))
