@@ -41,6 +41,26 @@ def test_labeller_agrees_with_the_rules():
     assert right >= 0.95 * len(texts)
 
 
+@pytest.mark.parametrize("mark, want", [("an *important* word", {"markdown"}), ("a [link](a/b.md) here", {"markdown"}), ("a <b>bold</b> word", {"html"}), ("as in \\cite{a1} and", {"latex"}), ("a [[Page|name]] b", {"wiki"})])
+@pytest.mark.parametrize("after", [0, 5000])
+def test_marks_late_in_a_long_line(mark, want, after):
+    model, features = markup.BlockLabeller.load(), markup.Features()
+    plain = "the small queue keeps all of the old records and was never empty before the last review "
+    line = (plain * 100)[:5000] + " " + mark + " " + (plain * 100)[:after]
+    (lines, labels, _), = markup.label_blocks([line], model, features)
+    assert rules.kinds_of(labels) == want
+    assert markup.clean_text(lines, labels) == rules.clean_line(line, want).rstrip() != line.rstrip()
+
+
+def test_every_token_is_in_a_block():
+    features = markup.Features()
+    line = " ".join(f"w{i}" if i % 7 else f"*{i}*" for i in range(2000))
+    blocks, counts = features.blocks([line, "", "short one"], ["", "", ""])
+    assert counts == [len(blocks) - 2, 1, 1] and max(map(len, blocks)) <= markup.BLOCK_TOKENS + 1
+    step, tokens = markup.BLOCK_TOKENS - markup.SHARED_TOKENS, [features.bucket(t) for t in markup._TOKENS(line)]
+    assert [t for b in blocks[: counts[0] - 1] for t in b[:step]] + blocks[counts[0] - 1][:-1] == tokens
+
+
 def test_gradients_match_differences():
     import numpy as np
 

@@ -1,11 +1,12 @@
 """Finding and removing markup residue with a recurrent block labeller.
 
-A text is a sequence of leaf blocks (its lines). Each block becomes one vector: the sum of
-hashed embeddings of its words and sign runs and of the tag path it stands in. A small
+A text is a sequence of leaf blocks: its lines, long ones in several overlapping blocks that
+together hold the whole line. Each block becomes one vector: the sum of hashed embeddings of
+its words and sign runs, of the line's start and of the tag path it stands in. A small
 bidirectional LSTM, written in numpy, reads the sequence forwards and backwards and gives
 each block a probability for each markup kind and for each shape (heading, list, code,
-formula, table), so that a block is judged in the context of the whole text. A label
-counts if the labeller gives it and the block's own signs bear it out.
+formula, table), so that a block is judged in the context of the whole text. A line has the highest probability of its
+blocks. A label counts if the labeller gives it and the line's own signs bear it out.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ HIDDEN = 24
 #: A label counts from this probability on, if the block's signs bear it out.
 THRESHOLD = 0.2
 MEMO_TOKENS = 200_000
+#: Longer tokens are hashed each time, so that the memo stays small.
+MEMO_LENGTH = 64
+#: Tokens of a line that one block holds at most, and those that it shares with the next one.
+BLOCK_TOKENS, SHARED_TOKENS = 32, 8
 WEIGHTS = os.path.join(os.path.dirname(__file__), "markup_lstm.npz")
 
 # Sign runs with the blanks beside them, numbers, Latin words, other words.
@@ -54,22 +59,30 @@ class Features:
                 norm = token.lower()[:16] if token.isascii() else "¤"
             else:
                 norm = token[:8]
-            found = self.memo[token] = zlib.crc32(norm.encode("utf-8", "replace")) % BUCKETS
+            found = zlib.crc32(norm.encode("utf-8", "replace")) % BUCKETS
+            if len(token) <= MEMO_LENGTH:
+                self.memo[token] = found
         return found
 
     def of(self, lines: list[str], paths: list[str]) -> list[list[int]]:
-        out = []
+        return self.blocks(lines, paths)[0]
+
+    def blocks(self, lines: list[str], paths: list[str]) -> tuple[list[list[int]], list[int]]:
+        """The blocks of all lines, and how many each line has; every token of a line is in one."""
+        out, counts = [], []
         bucket = self.bucket
         for line, path in zip(lines, paths):
-            found = [bucket(t) for t in _TOKENS(line[:600])]
+            found = [bucket(t) for t in _TOKENS(line)]
             head = line.lstrip()[:2]
-            found.append(bucket("^" + ("w" if head.isalnum() else head)))
+            every = [bucket("^" + ("w" if head.isalnum() else head))]
             if not head:
-                found.append(bucket("^blank"))
+                every.append(bucket("^blank"))
             if path:
-                found += [bucket("@" + p) for p in path.split(">")]
-            out.append(found)
-        return out
+                every += [bucket("@" + p) for p in path.split(">")]
+            starts = range(0, max(1, len(found) - SHARED_TOKENS), BLOCK_TOKENS - SHARED_TOKENS)
+            out += [found[a : a + BLOCK_TOKENS] + every for a in starts]
+            counts.append(len(starts))
+        return out, counts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,6 +162,12 @@ class BlockLabeller:
         state = np.concatenate([self.run(x, lengths, "f"), self.run(x, lengths, "b"), x], axis=1)
         return _sigmoid(state @ self.p["V"] + self.p["c"])
 
+    def line_probabilities(self, texts: list[tuple[list[list[int]], list[int]]]) -> np.ndarray:
+        """One row per line of all texts, given as ``Features.blocks`` returns them: the highest of its blocks."""
+        prob = self.probabilities([b for blocks, _ in texts for b in blocks], np.array([len(blocks) for blocks, _ in texts], np.int64))
+        size = np.array([n for _, counts in texts for n in counts], np.int64)
+        return np.maximum.reduceat(prob, np.cumsum(size) - size, axis=0) if len(size) else prob
+
     def gradients(self, blocks: list[list[int]], lengths: np.ndarray, truth: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Cross entropy of all labels, mean over the blocks, and its gradients by backpropagation through time."""
         x = self.embed(blocks)
@@ -190,7 +209,11 @@ class BlockLabeller:
 def train(texts: Iterable[list[str]], truth: Iterable[np.ndarray], epochs: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 1) -> BlockLabeller:
     """Fits the labeller by Adam on sequences of lines and their 0/1 label matrices."""
     features = Features()
-    data = [(features.of(lines, rules.tag_paths(lines)), labels.astype(np.float32)) for lines, labels in zip(texts, truth) if lines]
+    data = []
+    for lines, labels in zip(texts, truth):
+        if lines:
+            blocks, counts = features.blocks(lines, rules.tag_paths(lines))
+            data.append((blocks, np.repeat(labels.astype(np.float32), counts, axis=0)))
     model = BlockLabeller.fresh(seed)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -239,12 +262,11 @@ def label_blocks(texts: list[str], model: BlockLabeller, features: Features, thr
                 continue
         out[i] = (lines, [set() for _ in lines], np.zeros((len(lines), len(rules.LABELS)), np.float32))
     if chosen:
-        blocks = [b for _, lines, paths, _ in chosen for b in features.of(lines, paths)]
-        lengths = np.array([len(lines) for _, lines, _, _ in chosen], np.int64)
-        prob = model.probabilities(blocks, lengths)
+        prob = model.line_probabilities([features.blocks(lines, paths) for _, lines, paths, _ in chosen])
         named = prob >= threshold
         at = 0
-        for (i, lines, _, signs), n in zip(chosen, lengths):
+        for i, lines, _, signs in chosen:
+            n = len(lines)
             own = named[at : at + n]
             labels = [{name for j, name in enumerate(rules.LABELS) if mask[j] and name in borne} if borne else borne for mask, borne in zip(own, signs)]
             out[i] = (lines, labels, prob[at : at + n])
