@@ -61,6 +61,17 @@ def test_every_token_is_in_a_block():
     assert [t for b in blocks[: counts[0] - 1] for t in b[:step]] + blocks[counts[0] - 1][:-1] == tokens
 
 
+def test_wiki_table_headers(spark):
+    rows = [(1, "{|\n! a !! b\n|-\n| 1 || 2\n|}", None), (2, "{|\n! a\n! b\n|-\n| 1 || 2\nmore of it\n\n|}", None)]
+    clean = {r["id"]: r for r in markup.clean_markup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert clean[1]["text"] == "a\tb\n1\t2"
+    assert [tuple(b) for b in clean[1]["blocks"]] == [("table", "a\tb"), ("table", "1\t2")]
+    lines = rows[1][1].split("\n")
+    assert [bool(x) for x in rules.line_signs(lines)] == [True] * 6 + [False, True]
+    assert kinds("! a !! b") == {"wiki"} and kinds("the end -->") == {"html"} and kinds("-- -") == {"markdown"}
+    assert kinds("Stop! It works!! Now.") == set()
+
+
 def test_gradients_match_differences():
     import numpy as np
 

@@ -35,7 +35,7 @@ MD_INLINE = re.compile(
 )
 ESCAPE = re.compile(r"(?<![\w:\\])\\[*_#`~>+!\[\]{}()|-]|(?<=\w)\\[*_#`](?!\w*\\)")
 #: No rule can match a text in which this finds nothing.
-ANY_SIGN = re.compile(r"[<`\\$|~\[]|''|==|\*|_|\{\{|&\w|&#|^\s*(?:#|>|[-+][ \t]|\d{1,3}[.)][ \t]|-{3})|^-{3,}|^=", re.M)
+ANY_SIGN = re.compile(r"[<`\\$|~\[]|''|==|\*|_|\{\{|&\w|&#|^\s*(?:#|>|[-+][ \t]|\d{1,3}[.)][ \t]|-[ \t]*-[ \t]*-)|^=|^![^\n]*!!|-->", re.M)
 
 _UNDERLINE = re.compile(r"^\s{0,3}(?:={3,}|-{3,})\s*$")
 _LIST_START = re.compile(r"^\s*(?:[-*+]|\d{1,3}[.)]|[*#:;]+)[ \t]+")
@@ -128,7 +128,7 @@ def line_signs(lines: list[str], paths: list[str] | None = None) -> list[set[str
             labels.add(HTML)
             previous = ""
             continue
-        if not ANY_SIGN.search(line):
+        if not ANY_SIGN.search(line) and not ("wikitable" in path and line.strip()):
             previous = line
             continue
         rest = line
