@@ -81,6 +81,21 @@ def test_empty_and_single(spark, tables):
 RESULT = "query_id bigint, chunk_rowid bigint, searched_at string, fusion_score double, rerank_score double, vector_rank int, bm25_rank int"
 
 
+HOT = [(1, "x", 4), (1, "fill", 100), (2, "x", 100), (3, "x", 100), (3, "few", 3)]
+ALONE = [(1, "a", 5), (1, "b", 4), (1, "c", 3)]
+
+
+@pytest.mark.parametrize("rows, want", [(HOT, {(1, "x"), (1, "fill"), (2, "x"), (3, "x")}), (ALONE, {(1, "a"), (1, "b")})])
+def test_found_terms_need_no_positive_score(spark, tmp_path, rows, want):
+    from vellumdex.llm import queries
+
+    spark.createDataFrame(rows, "chunk_rowid bigint, term string, tf int").write.parquet(f"{tmp_path}/bm25_terms.parquet")
+    spark.createDataFrame(sorted({r[:1] for r in rows}), "id bigint").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert sorted(map(tuple, queries.p5_found(spark, str(tmp_path)).collect())) == sorted(want)
+    lowest = queries.p5_scores(spark, str(tmp_path)).where("tf >= 4").agg({"z": "min"}).first()[0]
+    assert lowest <= 0
+
+
 def brute_ranks(values):
     """Mean rank of ties from 0 to 1; None is worst at 0."""
     n = len(values)

@@ -51,8 +51,8 @@ def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms with a count of 4 or more that at most 3 chunks hold: typical of their chunk, by a positive score."""
-    return p5_scores(spark, sf_dir).where("z > 0 and tf >= 4 and df <= 3").select("chunk_rowid", "term")
+    """Terms with a count of 4 or more that at most 3 chunks hold, the most typical of their chunk first in each part."""
+    return p5_scores(spark, sf_dir).where("tf >= 4 and df <= 3").sortWithinPartitions(F.desc("z")).select("chunk_rowid", "term")
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
