@@ -87,6 +87,13 @@ def test_distances_match_a_plain_count(profiles):
             assert abs(far[0, j] - want) < 1e-9 and abs(whole[0, j] - want) < 1e-9
 
 
+def test_long_words_are_scored_whole(profiles):
+    word = "q" * 64 + "warteschlange"
+    places = [int(profiles.order[profiles.number[g]]) for g in L.word_ngrams(word) if g in profiles.number]
+    assert profiles.grams(word) == places and len(places) > len(profiles.grams(word[:64]))
+    assert word not in profiles.memo
+
+
 def test_passages(spark, profiles):
     mixed = f"{sentence('de')} {sentence('de')} {sentence('fr')} {sentence('de')}\n\n{sentence('ja')}"
     docs = [(i, sentence(lang) + " " + sentence(lang), lang) for i, lang in enumerate(WORDS)]

@@ -35,6 +35,8 @@ LEAST_WORDS = 3
 RANKED_BYTES = 256 << 10
 #: Distinct words whose n-grams a worker keeps before it starts anew.
 MEMO_WORDS = 300_000
+#: Longer words are cut into n-grams each time, so that the memo stays small.
+MEMO_LENGTH = 64
 
 _STOPS = frozenset(".!?…。！？")
 _WIDE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
@@ -141,8 +143,9 @@ class Profiles:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             number = self.number
-            found = [int(self.order[number[g]]) for g in word_ngrams(word[:64]) if g in number]
-            self.memo[word] = found
+            found = [int(self.order[number[g]]) for g in word_ngrams(word) if g in number]
+            if len(word) <= MEMO_LENGTH:
+                self.memo[word] = found
         return found
 
     def distances(self, texts: list[str], groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
