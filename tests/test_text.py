@@ -25,3 +25,11 @@ def test_hash_and_snippet(spark):
     import hashlib
 
     assert list(row) == [hashlib.sha256(b"ab \n c").hexdigest(), "abc", "ab c"]
+
+
+def test_pairs_of_whole_texts(spark, tmp_path):
+    from vellumdex.plans.retrieval_queries import QUERIES
+
+    spark.createDataFrame([(1, "标题", "plain " * 1000 + "词项目 x 中"), (2, None, ""), (3, "标题", None)], "doc_id bigint, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["cjk_bigrams_text"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "词项 项目 中"), (2, "")]

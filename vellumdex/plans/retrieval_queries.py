@@ -180,6 +180,12 @@ def cjk_bigrams(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("title is not null").select("doc_id", F.array_join(tx.cjk_bigrams_of(tx.nfkc_lower("title")), " ").alias("pairs"))
 
 
+@query(f"select doc_id, array_to_string((select {_PAIRS} from (select {_norm('text')} as n)), ' ') as pairs from documents where text is not null")
+def cjk_bigrams_text(spark, sf_dir):
+    """Character pairs of whole texts."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(tx.cjk_bigrams_of(tx.nfkc_lower("text")), " ").alias("pairs"))
+
+
 # ---- vectors
 
 _DOT = "list_inner_product(cast(v.embedding as double[]), cast(q.embedding as double[]))"
