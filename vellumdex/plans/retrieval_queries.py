@@ -13,6 +13,7 @@ from vellumdex.functions import text as tx
 from vellumdex.functions.providers import HashEmbedder, embedding_of
 from vellumdex.operators import context, evaluation, fusion, lexical, vector
 from vellumdex.plans.engine import document_changes, without_documents
+from vellumdex.plans.sql_text import HAN, WORDS, sql_norm
 from vellumdex.session import table
 from vellumdex.sources import markdown
 
@@ -34,26 +35,11 @@ def query(sql: str | None = None):
 
 # ---- SQL that several queries share
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "①②③④⑤⑥⑦⑧⑨ 　"
-_NARROW = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "123456789  ").replace("'", "''")
-_LONG = {"½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "㎏": "kg", "…": "...", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "™": "tm", "№": "no"}
-
-
-def _norm(column: str) -> str:
-    """NFKC and lower case in SQL, for the compatibility characters of the test data."""
-    text = column
-    for sign, plain in _LONG.items():
-        text = f"replace({text}, '{sign}', '{plain}')"
-    return f"lower(nfc_normalize(translate({text}, '{_WIDE.replace(chr(39), chr(39) * 2)}', '{_NARROW}')))"
-
-
-_WORDS = r"[a-z0-9_+\-.]+"
-_HAN = r"[\x{4e00}-\x{9fff}]"
-_PAIRS = f"flatten(list_transform(regexp_extract_all(n, '{_HAN}+'), lambda r: case when length(r) < 2 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end))"
+_PAIRS = f"flatten(list_transform(regexp_extract_all(n, '{HAN}+'), lambda r: case when length(r) < 2 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end))"
 
 
 def _tokens(norm: str) -> str:
-    return f"(select list_concat(regexp_extract_all(n, '{_WORDS}'), {_PAIRS}) from (select {norm} as n))"
+    return f"(select list_concat(regexp_extract_all(n, '{WORDS}'), {_PAIRS}) from (select {norm} as n))"
 
 
 _CHUNKS = "chunks1 as (select id, min(doc_id) as doc_id, max(token_count) as token_count, min(collection_id) as collection_id, min(embedding_hash) as embedding_hash, min(search_text) as search_text from chunks group by id)"
@@ -91,14 +77,14 @@ def _light_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- full text
 
 
-@query(f"with t as (select id, {_tokens(_norm('search_text'))} as toks from chunks) select id, array_to_string(toks, ' ') as tokens, cast(len(toks) as bigint) as n_tokens from t where toks is not null")
+@query(f"with t as (select id, {_tokens(sql_norm('search_text'))} as toks from chunks) select id, array_to_string(toks, ' ') as tokens, cast(len(toks) as bigint) as n_tokens from t where toks is not null")
 def tokenize_terms(spark, sf_dir):
     """Search tokens of every chunk row."""
     rows = table(spark, sf_dir, "chunks").where("search_text is not null").select("id", tx.search_tokens(tx.nfkc_lower("search_text")).alias("t"))
     return rows.select("id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("bigint").alias("n_tokens"))
 
 
-@query(f"with {_CHUNKS}, t as (select id, unnest({_tokens(_norm('search_text'))}) as term from chunks1) select id, term, cast(count(*) as int) as tf from t group by all")
+@query(f"with {_CHUNKS}, t as (select id, unnest({_tokens(sql_norm('search_text'))}) as term from chunks1) select id, term, cast(count(*) as int) as tf from t group by all")
 def term_frequency(spark, sf_dir):
     """Postings of all chunks, made from their texts."""
     return lexical.postings_of(index_chunks(spark, sf_dir))
@@ -114,7 +100,7 @@ def corpus_scalars(spark, sf_dir):
     return lexical.corpus_scalars(_light_chunks(spark, sf_dir)).withColumn("avgdl", F.round("avgdl", 9))
 
 
-@query(f"select id, cast(len(regexp_extract_all({_norm('search_text')}, '{_HAN}|{_WORDS}')) as int) as n_atoms from chunks where search_text is not null")
+@query(f"select id, cast(len(regexp_extract_all({sql_norm('search_text')}, '{HAN}|{WORDS}')) as int) as n_atoms from chunks where search_text is not null")
 def rough_token_count(spark, sf_dir):
     """Atoms of every chunk row's search text."""
     return table(spark, sf_dir, "chunks").where("search_text is not null").select("id", tx.atom_count(tx.nfkc_lower("search_text")).alias("n_atoms"))
@@ -150,7 +136,7 @@ def bm25_topk_filtered(spark, sf_dir):
     return lexical.bm25_topk(spark, "cache sensor scheduler 词项", index_postings(spark, sf_dir), _light_chunks(spark, sf_dir), collections=default_ids(spark, sf_dir))
 
 
-_ASKED = f"""select distinct query_id, unnest({_tokens("trim(regexp_replace(regexp_replace(" + _norm("query") + r", '[\x{2010}-\x{2015}]', '-', 'g'), '\s+', ' ', 'g'))")}) as term
+_ASKED = f"""select distinct query_id, unnest({_tokens("trim(regexp_replace(regexp_replace(" + sql_norm("query") + r", '[\x{2010}-\x{2015}]', '-', 'g'), '\s+', ' ', 'g'))")}) as term
   from (select query_id, min(query) as query from search_results where query is not null group by query_id)"""
 
 
@@ -169,18 +155,18 @@ def bm25_batch(spark, sf_dir):
     return _batch(spark, sf_dir, 10)
 
 
-@query(f"select query_id, trim(regexp_replace(regexp_replace({_norm('query')}" + r", '[\x{2010}-\x{2015}]', '-', 'g'), '\s+', ' ', 'g')) as query from (select query_id, min(query) as query from search_results where query is not null group by query_id)")
+@query(f"select query_id, trim(regexp_replace(regexp_replace({sql_norm('query')}" + r", '[\x{2010}-\x{2015}]', '-', 'g'), '\s+', ' ', 'g')) as query from (select query_id, min(query) as query from search_results where query is not null group by query_id)")
 def query_normalize(spark, sf_dir):
     return stored_queries(spark, sf_dir).select("query_id", tx.query_text_col(F.col("query")).alias("query"))
 
 
-@query(f"select doc_id, array_to_string((select {_PAIRS} from (select {_norm('title')} as n)), ' ') as pairs from documents where title is not null")
+@query(f"select doc_id, array_to_string((select {_PAIRS} from (select {sql_norm('title')} as n)), ' ') as pairs from documents where title is not null")
 def cjk_bigrams(spark, sf_dir):
     """Character pairs of titles."""
     return table(spark, sf_dir, "documents").where("title is not null").select("doc_id", F.array_join(tx.cjk_bigrams_of(tx.nfkc_lower("title")), " ").alias("pairs"))
 
 
-@query(f"select doc_id, array_to_string((select {_PAIRS} from (select {_norm('text')} as n)), ' ') as pairs from documents where text is not null")
+@query(f"select doc_id, array_to_string((select {_PAIRS} from (select {sql_norm('text')} as n)), ' ') as pairs from documents where text is not null")
 def cjk_bigrams_text(spark, sf_dir):
     """Character pairs of whole texts."""
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(tx.cjk_bigrams_of(tx.nfkc_lower("text")), " ").alias("pairs"))
@@ -377,7 +363,7 @@ def chunk_tiers(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with a as (select doc_id, regexp_extract_all({_norm('text')}, '{_HAN}|{_WORDS}') as atoms from documents where text is not null),
+@query(f"""with a as (select doc_id, regexp_extract_all({sql_norm('text')}, '{HAN}|{WORDS}') as atoms from documents where text is not null),
   w as (select doc_id, atoms, unnest(range(0, cast(case when len(atoms) = 0 then 0 when len(atoms) <= 800 then 1 else ceil((len(atoms) - 120) / 680.0) end as bigint))) as i from a)
   select doc_id, cast(i + 1 as int) as part, cast(len(atoms[i * 680 + 1 : i * 680 + 800]) as int) as n_atoms, sha256(array_to_string(atoms[i * 680 + 1 : i * 680 + 800], ' ')) as window_hash from w""")
 def chunk_windows(spark, sf_dir):
