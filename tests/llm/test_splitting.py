@@ -21,7 +21,7 @@ def test_range_maximum_matches_brute_force():
                 assert index.query(lo, hi) == best
 
 
-ALPHABET = ["a", "B", "9", "中", "é", "é", "ﬁ", "㎏", "½", " ", "\n", "\n\n", ". ", "。", ", ", "-", "\n# ", "か゛", "ß", "İ", "\t", "_", "<", "…"]
+ALPHABET = ["a", "B", "9", "中", "é", "é", "ﬁ", "㎏", "½", " ", "\n", "\n\n", ". ", "。", ", ", "-", "\n# ", "か゛", "ß", "İ", "\t", "_", "<", "…", "\uff0c", "\uff01", "\uff1f", "\uff1b", "\uff1a", "\u3001"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -48,6 +48,29 @@ def test_cuts_at_the_strongest_place():
     assert S.split_text(equal, 20, 0)[0][2] == 20  # of equal cuts the rightmost
 
 
+def test_full_width_stops():
+    text = "天气很好\uff0c我们去公园\uff01你来吗\uff1f好的\uff1b再见\uff1a明天\u3001后天\u3002完"
+    spans = S.atom_spans(text)
+    found = {text[spans[k - 1][1]]: int(v) for k, v in enumerate(S.gap_strengths(text, spans)) if 0 < k < len(spans) and spans[k][0] > spans[k - 1][1]}
+    assert found == {"\uff0c": S.CLAUSE, "\uff1b": S.CLAUSE, "\uff1a": S.CLAUSE, "\u3001": S.CLAUSE, "\uff01": S.SENTENCE, "\uff1f": S.SENTENCE, "\u3002": S.SENTENCE}
+
+
+@pytest.mark.parametrize("letters, stops", [("天地人和山水火木", "\uff0c\u3002\uff01\uff1f\uff1b\uff1a"), ("あいうえ日本語の", "\u3001\u3002\uff01\uff1f")])
+def test_cuts_are_the_strongest_of_their_windows(letters, stops):
+    r = random.Random(6)
+    text = "".join("".join(r.choice(letters) for _ in range(r.randint(7, 19))) + r.choice(stops) for _ in range(120))
+    spans = S.atom_spans(text)
+    strengths = S.gap_strengths(text, spans)
+    most, overlap = 60, 12
+    bounds = S.piece_bounds(strengths, most, overlap)
+    assert len(bounds) > 5
+    for (a, end), (start, _) in zip(bounds, bounds[1:]):
+        window = range(a + max(overlap + 1, most // 2), a + most + 1)
+        assert end == max(window, key=lambda i: (strengths[i], i)) and strengths[end] >= (S.CLAUSE if len(spans) else 0)
+        back = range(max(end - overlap, a + 1), end - overlap // 2 + 1)
+        assert start == max(back, key=lambda i: (strengths[i], i))
+
+
 def test_long_text_without_breaks():
     text = "中" * 5000
     assert all(n <= 800 for _, _, n in S.split_text(text))

@@ -26,17 +26,18 @@ from vellumdex.llm.batches import bounded
 MAX_ATOMS = 800
 OVERLAP = 120
 
-# Strength of a gap, by what stands in it.
+# Strength of a gap, by what stands in it. Full-width stops are written by their numbers, since they look like the others.
 HEADING, BLANK_LINE, LINE, SENTENCE, CLAUSE, SPACE, NONE = 6, 5, 4, 3, 2, 1, 0
 
 _RULES = [
     (HEADING, re.compile(r"\n[ \t]*(?:#{1,6}[ \t]|={2,6}[^=\n]|<h[1-6]\b|\\(?:sub)*section\b)", re.I)),
     (BLANK_LINE, re.compile(r"\n[ \t\r]*\n| ")),
     (LINE, re.compile(r"[\n\r \x0b\x0c\x85]")),
-    (SENTENCE, re.compile(r"[.!?…][\"'»”’)\]]*\s|[。!?…。]|[.!?][\"'»”’)\]]+$")),
-    (CLAUSE, re.compile(r"[,;:,、;:—–]|\s-\s")),
+    (SENTENCE, re.compile(r"[.!?\u2026][\"'\u00bb\u201d\u2019)\]]*\s|[\u3002\uff01\uff1f\uff0e\uff61\u2026]|[.!?][\"'\u00bb\u201d\u2019)\]]+$")),
+    (CLAUSE, re.compile(r"[,;:\uff0c\u3001\uff1b\uff1a\uff64\u2014\u2013]|\s-\s")),
     (SPACE, re.compile(r"\s")),
 ]
+_STOPS = frozenset(",;:!?\u3002\uff01\uff1f\uff0e\uff61\uff0c\u3001\uff1b\uff1a\uff64")
 
 
 class StrongestCut:
@@ -145,7 +146,7 @@ def split_text(text: str, most: int = MAX_ATOMS, overlap: int = OVERLAP) -> list
 def _lead(text: str, a: int, b: int) -> int:
     """Where a piece begins in the gap ``a..b`` before its first atom: after the last white space or stop."""
     for i in range(b - 1, a - 1, -1):
-        if text[i] in "\n" or text[i].isspace() or text[i] in "。!?,、;":
+        if text[i] in "\n" or text[i].isspace() or text[i] in _STOPS:
             return i + 1
     return a
 
