@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 HTML, MARKDOWN, WIKI, LATEX = "html", "markdown", "wiki", "latex"
 KINDS = (HTML, LATEX, MARKDOWN, WIKI)
@@ -19,176 +20,103 @@ ELEMENTS = (
 ).split()
 
 _TAG = rf"</?(?:{'|'.join(sorted(ELEMENTS, key=len, reverse=True))})(?:\s[^<>]*)?\s*/?(?:>|$)"
-HTML_SIGN = re.compile(rf"<!--|-->|<!DOCTYPE\b|{_TAG}|&(?:#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,9}});", re.I)
-LATEX_MATH = re.compile(r"\$\$[^$\n]+\$\$|\$\$\s*$|(?<![\\$\w])\$(?=[^\s$\d])[^$\n]{0,120}?(?<=[^\s\\$(])\$(?![\d$])|\\\[(?=[^\n]*[\\^_=])[^\n]*|^[^\n]*\\\]\s*$|\\\((?=[^\n]*[\\^_=])[^\n]*?\\\)")
-LATEX_SIGN = re.compile(r"(?<![\w:\\])\\(?:begin|end)\s*\{[^}\n]*\}(?:\{[^}\n]*\}|\[[^\]\n]*\])*|(?<![\w:\\/])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*|(?<=\w)\\(?:cite|ref|label|footnote|index|emph|text\w\w)\b\*?(?:\{[^{}\n]*\})+|(?<=\d)\\%|[ \w]&[ \w][^\n]*\\\\\s*$")
-WIKI_SIGN = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|(?<!')'{2,5}(?=[^'\s])[^\n]*?(?<=[^'\s])'{2,5}(?!')|^={2,6}[^=\n]+={2,6}\s*$|^\{\||^\|\}|^\|-(?:[^-|:]|$)|^![^\n]*!!|^\|[^|\n]*\|\||^\s*__[A-Z]{3,}__\s*$|__(?:NO|FORCE)?TOC__|__NO(?:EDITSECTION|GALLERY|INDEX|TITLE)__|__INDEX__|</?(?:nowiki|ref|gallery)\b")
-MD_CODE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?[^`](?:\1)(?!`)")
 MD_FENCE = re.compile(r"^\s{0,3}(?:```+|~~~+)[^`\n]*$")
-MD_START = re.compile(
-    r"^ {0,3}#{1,6}[ \t]+\S|^\s*>+\s?[^\s>=\d]|^\s*>+\s*\d+[.)]? \w|^\s*[-*+][ \t]+[^\s\d(=]|^\s*[-*+][ \t]+(?:\d|\()[^=\n]*[\w.]$|^\s*\d{1,3}[.)][ \t]+\S|^\s{0,3}\[[^\]\n]+\]:\s*\S"
-    r"|^\s*\|[^\n]*\|\s*$|^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$|^\s{0,3}(?:(?:-[ \t]*){3,}|(?:_[ \t]*){3,}|(?:\*[ \t]*){3,})$"
-)
-MD_INLINE = re.compile(
-    r"!?\[[^\[\]\n]*\]\([^()\n]*\)|\[[^\[\]\n]+\]\[[^\[\]\n]*\]|\[\^[^\[\]\n]+\]|~~(?=\S)[^~\n]+(?<=\S)~~"
-    r"|(?<![\\*])\*{1,3}(?=[^\s*])[^*\n]*?(?<=[^\s*\\])\*{1,3}(?!\*)|(?<![A-Za-z0-9_\\])_{1,3}(?=[^\s_])[^_\n]*?(?<=[^\s_\\])_{1,3}(?![A-Za-z0-9_])|<(?:https?|mailto):[^\s<>]+>"
-)
-ESCAPE = re.compile(r"(?<![\w:\\])\\[*_#`~>+!\[\]{}()|-]|(?<=\w)\\[*_#`](?!\w*\\)")
-#: No rule can match a text in which this finds nothing.
-ANY_SIGN = re.compile(r"[<`\\$|~\[]|''|==|\*|_|\{\{|&\w|&#|^\s*(?:#|>|[-+][ \t]|\d{1,3}[.)][ \t]|-[ \t]*-[ \t]*-)|^=|^![^\n]*!!|-->", re.M)
-
 _UNDERLINE = re.compile(r"^\s{0,3}(?:={3,}|-{3,})\s*$")
-_LIST_START = re.compile(r"^\s*(?:[-*+]|\d{1,3}[.)]|[*#:;]+)[ \t]+")
 OPEN_TAG = re.compile(rf"<(?:{'|'.join(ELEMENTS)})(?:\s[^<>]*)?$", re.I)
 _OPEN_PRE, _CLOSE_PRE = re.compile(r"<(pre|script|style|textarea)\b", re.I), re.compile(r"</(?:pre|script|style|textarea)\s*>", re.I)
 _BEGIN, _CLOSE = re.compile(r"\\begin\{(\w+)\*?\}"), re.compile(r"\\end\{(\w+)\*?\}")
 _MATH_ENV = frozenset("equation align displaymath eqnarray gather multline math".split())
 _CODE_ENV = frozenset("verbatim lstlisting minted alltt".split())
+_CONTAINERS = ("fence", "pre", "comment", "tag", "wikitable", "dollars", *sorted(_MATH_ENV), *sorted(_CODE_ENV))
+
+
+class _Open:
+    """The stack of open elements; how often each name is on it is counted, so that no step looks through all of it."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.count: Counter[str] = Counter()
 
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
 
-def _blank(m: re.Match) -> str:
-    return " " * len(m.group())
+    def close(self, name: str) -> None:
+        """Closes the innermost element of that name with all that stands in it; nothing if there is none."""
+        while self.count[name]:
+            last = self.names.pop()
+            self.count[last] -= 1
+            if last == name:
+                return
+
+    def top(self) -> str:
+        return self.names[-1] if self.names else ""
+
+    def shown(self) -> str:
+        """The innermost six names after those of the kinds that change how lines are read, wherever they stand."""
+        near = self.names[-6:]
+        if len(self.names) > 6:
+            near = [n for n in _CONTAINERS if self.count[n] and n not in near] + near
+        return ">".join(near)
 
 
 def tag_paths(lines: list[str]) -> list[str]:
-    """Of each line the open structure it stands in, outermost first, as ``table>pre``."""
-    out, path = [], []
+    """Of each line the open structure it stands in, outermost first, as ``table>pre``.
+
+    Elements are kept open to any depth; of a deep path the innermost six are shown, and
+    every container of code, formulas or tables that is open.
+    """
+    out, path = [], _Open()
     for line in lines:
-        plain = path[-1:] != ["tag"] and "<" not in line and "`" not in line and "~" not in line and "{|" not in line and "|}" not in line and "\\" not in line and "--" not in line
+        inside = path.top()
+        plain = inside != "tag" and "<" not in line and "`" not in line and "~" not in line and "{|" not in line and "|}" not in line and "\\" not in line and "--" not in line and "$$" not in line
         if plain:
-            out.append(">".join(path))
+            out.append(path.shown())
             continue
-        here = list(path)
-        if path[-1:] == ["fence"]:
+        depth, before = len(path.names), path.shown()
+        if inside == "fence":
             if MD_FENCE.match(line):
-                path.pop()
-        elif path[-1:] == ["pre"]:
+                path.close("fence")
+        elif inside == "pre":
             if _CLOSE_PRE.search(line):
-                path.pop()
-        elif path[-1:] == ["comment"]:
+                path.close("pre")
+        elif inside == "comment":
             if "-->" in line:
-                path.pop()
-        elif path[-1:] == ["tag"]:
+                path.close("comment")
+        elif inside == "tag":
             if ">" in line or not line.strip():
-                path.pop()
+                path.close("tag")
+        elif inside in _CODE_ENV:
+            if any(m.group(1) == inside for m in _CLOSE.finditer(line)):
+                path.close(inside)
         elif MD_FENCE.match(line):
-            path.append("fence")
+            path.push("fence")
         else:
             if line.startswith("{|"):
-                path.append("wikitable")
-            elif line.startswith("|}") and "wikitable" in path:
-                path = path[: path.index("wikitable")]
+                path.push("wikitable")
+            elif line.startswith("|}"):
+                path.close("wikitable")
             for m in _BEGIN.finditer(line):
-                path.append(m.group(1))
+                path.push(m.group(1))
             for m in _CLOSE.finditer(line):
-                if m.group(1) in path:
-                    path = path[: path.index(m.group(1))]
+                path.close(m.group(1))
             if "\\[" in line and "\\]" not in line.split("\\[", 1)[1]:
-                path.append("displaymath")
-            elif "\\]" in line and "displaymath" in path:
-                path = path[: path.index("displaymath")]
+                path.push("displaymath")
+            elif "\\]" in line:
+                path.close("displaymath")
+            elif line.strip() == "$$":
+                path.close("dollars") if path.count["dollars"] else path.push("dollars")
             opened, closed = len(_OPEN_PRE.findall(line)), len(_CLOSE_PRE.findall(line))
             if opened > closed:
-                path.append("pre")
+                path.push("pre")
             if line.count("<!--") > line.count("-->"):
-                path.append("comment")
+                path.push("comment")
             elif "<" in line and OPEN_TAG.search(line):
-                path.append("tag")
-        if len(path) > 6:
-            path = path[-6:]
-        out.append(">".join(here if len(here) >= len(path) else path))
+                path.push("tag")
+        out.append(before if depth >= len(path.names) else path.shown())
     return out
 
 
-def line_signs(lines: list[str], paths: list[str] | None = None) -> list[set[str]]:
-    """Labels of each line that its own signs speak for; every label is one of ``LABELS``."""
-    paths = tag_paths(lines) if paths is None else paths
-    found: list[set[str]] = []
-    unsure: list[int] = []
-    previous = ""
-    for i, (line, path) in enumerate(zip(lines, paths)):
-        labels: set[str] = set()
-        found.append(labels)
-        inner = path.rpartition(">")[2]
-        if inner == "fence" or MD_FENCE.match(line):
-            labels |= {MARKDOWN, CODE}
-            previous = ""
-            continue
-        if inner in _CODE_ENV or inner in _MATH_ENV:
-            labels |= {LATEX, CODE if inner in _CODE_ENV else FORMULA}
-            previous = ""
-            continue
-        if inner in ("pre", "comment"):
-            labels.add(HTML)
-            if inner == "pre":
-                labels.add(CODE)
-            previous = ""
-            continue
-        if inner == "tag" and not OPEN_TAG.search(line):
-            labels.add(HTML)
-            previous = ""
-            continue
-        if not ANY_SIGN.search(line) and not ("wikitable" in path and line.strip()):
-            previous = line
-            continue
-        rest = line
-        if "`" in rest and MD_CODE.search(rest):
-            labels.add(MARKDOWN)
-            rest = MD_CODE.sub(_blank, rest)
-        if ("<" in rest or "&" in rest or "-->" in rest) and HTML_SIGN.search(rest):
-            labels.add(HTML)
-            low = rest.lower()
-            for mark, shape in (("<h", HEADING), ("<li", LIST), ("<td", TABLE), ("<th", TABLE), ("<code", CODE)):
-                if mark in low and not (mark == "<h" and not re.search(r"<h[1-6]", low)) and not (mark == "<th" and "<the" in low and "<th>" not in low):
-                    labels.add(shape)
-            rest = HTML_SIGN.sub(_blank, rest)
-        if "$" in rest or "\\" in rest:
-            if LATEX_MATH.search(rest):
-                labels |= {LATEX, FORMULA}
-                rest = LATEX_MATH.sub(_blank, rest)
-            if LATEX_SIGN.search(rest):
-                labels.add(LATEX)
-                if re.search(r"\\(?:sub)*(?:section|paragraph)\b|\\(?:chapter|title)\b", rest):
-                    labels.add(HEADING)
-                elif "\\item" in rest:
-                    labels.add(LIST)
-                elif rest.rstrip().endswith("\\\\"):
-                    labels.add(TABLE)
-                rest = LATEX_SIGN.sub(_blank, rest)
-            if ESCAPE.search(rest):
-                unsure.append(i)
-                rest = ESCAPE.sub(_blank, rest)
-        if WIKI_SIGN.search(rest):
-            labels.add(WIKI)
-            if rest.startswith("="):
-                labels.add(HEADING)
-            elif rest.startswith(("{|", "|", "!")):
-                labels.add(TABLE)
-            rest = WIKI_SIGN.sub(_blank, rest)
-        elif "wikitable" in path:
-            labels |= {WIKI, TABLE}
-            rest = ""
-        if MD_START.match(rest):
-            labels.add(MARKDOWN)
-            bare = rest.lstrip()
-            if bare.startswith("#"):
-                labels.add(HEADING)
-            elif bare.startswith("|"):
-                labels.add(TABLE)
-            elif _LIST_START.match(rest) and re.search(r"\w", rest):
-                labels.add(LIST)
-        elif _UNDERLINE.match(rest) and previous.strip() and i:
-            labels |= {MARKDOWN, HEADING}
-            found[i - 1] |= {MARKDOWN, HEADING}
-        if MARKDOWN not in labels and MD_INLINE.search(rest):
-            labels.add(MARKDOWN)
-        previous = line
-    latex = any(LATEX in x for x in found)
-    for i in unsure:
-        found[i].add(LATEX if latex and MARKDOWN not in found[i] else MARKDOWN)
-    return found
-
-
 def kinds_of(signs: list[set[str]]) -> set[str]:
     return {k for x in signs for k in x if k in KINDS}
 
@@ -203,6 +131,7 @@ _MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\](?:\([^()\n]*\)|\[[^\[\]\n]*\])")
 _LATEX_NOTE = re.compile(r"\\footnote\*?\{([^{}]*)\}")
 _LATEX_ARG = re.compile(r"\\(?:text\w\w|emph|underline|(?:sub)*section|(?:sub)*paragraph|chapter|title)\*?\{([^{}]*)\}")
 _LATEX_DROP = re.compile(r"~?\\(?:label|ref|cite\w*|begin|end|includegraphics|index|vspace|hspace)\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})+")
+_INLINE_MATH = re.compile(r"(?:(?<![\\$\w])\$\$?(?=[^\s$])|\\\(\s*)([^$\n]*?[^\s\\$])(?:\$\$?(?![\d$])|\s*\\\))")
 _MATH_MARKS = re.compile(r"\$\$|(?<!\w)\$|\$(?!\d)|\\\[|\\\]|\\\(|\\\)")
 
 
@@ -221,7 +150,7 @@ def clean_line(line: str, labels: set[str]) -> str:
         if FORMULA in labels:
             text = _MATH_MARKS.sub("", text).strip()
         else:
-            text = re.sub(r"\\item\b\s*", "• ", text)
+            text = re.sub(r"\\item\b\s*", "• ", _INLINE_MATH.sub(r"\1", text))
             text = re.sub(r"\s*\\\\\s*$", "", text) if TABLE in labels else text
             text = re.sub(r"\\([%&_#$])", r"\1", text)
     if WIKI in labels:
