@@ -22,9 +22,16 @@ def test_water_filling():
     assert abs(total - 50) < 1e-9 and abs(exact["b"] - 20) < 1e-9 and abs(exact["a"] / total - 0.5) < 1e-9
 
 
-def test_threshold_skips_what_overshoots():
-    assert M._threshold([5, 5, 100, 5, 5], 18) == (5, [2])
-    assert M._threshold([5, 5], 0.2) == (0, [])
+def test_bins_that_overshoot_are_left_out():
+    total = lambda bins, rest: sum(b for b, t in zip(bins, M._taken(bins, rest)) if t == "1")
+    assert M._taken([5, 5, 100, 5, 5], 18) == "11011" and M._taken([5, 5], 0.2) == "00" and M._taken([], 5) == ""
+    assert total([500] * 20 + [10] * 50, 100) == 100
+    assert total([500] * 4000 + [10] * 96, 960) == 960
+    r = __import__("random").Random(1)
+    for _ in range(200):
+        bins = [r.choice([0, 1, 5, 50, 700]) for _ in range(r.randint(1, 60))]
+        rest = r.random() * sum(bins)
+        assert abs(total(bins, rest) - rest) <= max(bins) / 2 + 0.5
 
 
 TARGETS = "source string, target_share double, max_repeats int"
@@ -94,6 +101,44 @@ def test_long_words_are_scored_whole(profiles):
     assert word not in profiles.memo
 
 
+def test_counts_and_ranks_have_no_limit(profiles):
+    import numpy as np
+
+    a, b = sentence("de"), sentence("en")
+    many = (a + " ") * 40_000 + (b + " ") * 70_000  # both counts are over 65,535 for some n-grams
+    from collections import Counter
+
+    per = [Counter(g for w in L.WORD.findall(x) for g in L.word_ngrams(w) if g in profiles.number) for x in (a, b)]
+    counts = Counter({g: 40_000 * per[0][g] + 70_000 * per[1][g] for g in per[0] | per[1]})
+    assert sorted(counts.values())[-2] > 65_535
+    order = sorted(counts, key=lambda g: (-counts[g], profiles.order[profiles.number[g]]))
+    far, _, whole = profiles.distances([many], np.array([0]))
+    j = profiles.languages.index("de")
+    want = sum(abs(int(profiles.rank[profiles.number[g], j]) - i) for i, g in enumerate(order)) / len(order)
+    assert abs(far[0, j] - want) < 1e-9 and abs(whole[0, j] - want) < 1e-9
+    keys = np.array([0, 1, 2, len(profiles.number) + 1])
+    out = [np.zeros((2, len(profiles.languages))) for _ in range(2)]
+    profiles._out_of_place(keys, np.array([1, 3, 2, 1]), out[0])
+    profiles._out_of_place(keys, np.array([1, 3, 2, 1]) * 2**58, out[1])  # too great to be packed
+    assert (out[0] == out[1]).all() and out[0].any()
+
+
+def test_long_formulas_and_tags_are_no_text():
+    formula = "$" + " + ".join(f"the_{{{i}}}" for i in range(60)) + "$"
+    tag = "<a " + " ".join(f'x{i}="of the"' for i in range(80)) + ">"
+    plain = L.masked(f"Wort {formula} und {tag} noch ($5-$8) eins.")
+    assert len(formula) > 200 < len(tag) and "the" not in plain and "of" not in plain and plain.split() == ["Wort", "und", "noch", "($5-$8)", "eins."]
+
+
+def test_fit_takes_whole_texts_of_a_hot_key(spark):
+    head, tail = sentence("de") * 300, " " + sentence("fr") * 900
+    rows = [(None, f"{sentence('de')} {sentence('de')} {i}.", "de") for i in range(500)] + [(1, head + tail, "fr")]
+    fitted = L.fit_from_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), CODES, most=5)
+    assert fitted.languages == ["de", "fr"]
+    far, _, _ = fitted.distances([sentence("fr")])
+    assert far[0, 1] < far[0, 0]
+
+
 def test_passages(spark, profiles):
     mixed = f"{sentence('de')} {sentence('de')} {sentence('fr')} {sentence('de')}\n\n{sentence('ja')}"
     docs = [(i, sentence(lang) + " " + sentence(lang), lang) for i, lang in enumerate(WORDS)]

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumdex.llm.batches import bounded
@@ -24,9 +24,8 @@ from vellumdex.llm.batches import bounded
 #: Most n-grams of a profile, and the lengths of n-grams.
 PROFILE_SIZE = 3000
 SHORTEST, LONGEST = 2, 4
-#: The fit reads this many labelled documents of each language at most.
+#: The fit reads this many labelled documents of each language at most, each of them whole.
 FIT_DOCUMENTS = 300
-FIT_CHARS = 4000
 #: What a sentence in another language than its document needs: how much nearer it lies on average, as a part
 #: of the profiles' length, and words.
 FOREIGN_MARGIN = 0.03
@@ -50,10 +49,10 @@ _MASKS = [
     (("```", "~~~"), re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.S | re.M)),
     (("`",), re.compile(r"(`+)[^`\n]+\1")),
     (("<!--", "<pre", "<code", "<script", "<style", "<h", "<title", "<PRE", "<CODE", "<H", "<TITLE"), re.compile(r"<!--.*?-->|<(pre|code|script|style|h[1-6]|title)\b[^>]*>.*?</\1\s*>", re.S | re.I)),
-    (("<",), re.compile(r"</?[A-Za-z][^<>]{0,400}>")),
+    (("<",), re.compile(r"</?[A-Za-z](?:[^<>\n]|\n(?![ \t\r]*\n))*>")),
     (("&",), re.compile(r"&#?\w+;")),
     (("\\begin", "\\[", "\\("), re.compile(r"\\begin\{(equation|align|verbatim|lstlisting|tabular|displaymath)\*?\}.*?\\end\{\1\*?\}|\\\[.*?\\\]|\\\(.*?\\\)", re.S)),
-    (("$",), re.compile(r"\$\$[^$]+\$\$|\$[^$\n]{1,80}\$")),
+    (("$",), re.compile(r"\$\$[^$]+\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\$(])\$(?![\d$])")),
     (("section", "chapter", "\\title", "\\paragraph"), re.compile(r"^[^\n]*\\(?:(?:sub)*section|chapter|title|(?:sub)?paragraph)\*?\{[^\n]*$", re.M)),
     (("\\",), re.compile(r"\\(?:label|ref|cite\w*|begin|end|includegraphics|usepackage|documentclass)(?:\[[^\]\n]*\])?\{[^}\n]*\}|\\[A-Za-z]+\*?")),
     (("{{", "{|"), re.compile(r"\{\{[^{}]*\}\}|\{\|.*?^\|\}", re.S | re.M)),
@@ -113,7 +112,8 @@ class Profiles:
         union = sorted({g for grams in ranked.values() for g in grams})
         self.number = {g: i for i, g in enumerate(union)}
         self.absent = max((len(g) for g in ranked.values()), default=0)
-        self.rank = np.full((len(union) + 1, len(self.languages)), self.absent, np.int16)
+        # a text has no more distinct known n-grams than the profiles together, so that all places fit into the type
+        self.rank = np.full((len(union) + 1, len(self.languages)), self.absent, np.int16 if max(len(union), self.absent) < 2**15 else np.int32)
         for j, language in enumerate(self.languages):
             for r, g in enumerate(ranked[language]):
                 self.rank[self.number[g], j] = r
@@ -194,21 +194,29 @@ class Profiles:
             return far, words, nothing[2]
         text = keys // width
         merged = groups[text] * width + (keys - text * width)
-        packed = np.sort(merged << 20 | np.minimum(count, (1 << 20) - 1))  # sorting numbers is faster than sorting places
-        merged, count = packed >> 20, packed & ((1 << 20) - 1)
+        bits = int(count.max()).bit_length()
+        if int(merged.max()).bit_length() + bits < 63:
+            packed = np.sort(merged << bits | count)  # sorting numbers is faster than sorting places
+            merged, count = packed >> bits, packed & ((1 << bits) - 1)
+        else:
+            order = np.argsort(merged, kind="stable")
+            merged, count = merged[order], count[order]
         start = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         self._out_of_place(merged[start], np.add.reduceat(count, start), nothing[2])
         return far, words, nothing[2]
 
     def _out_of_place(self, keys: np.ndarray, count: np.ndarray, far: np.ndarray) -> None:
         """Fills ``far`` for the owners of ``keys`` (owner times width plus n-gram, each once)."""
-        width, top = len(self.number), 1 << 16
+        width, top = len(self.number), int(count.max()) + 1
         owner = keys // width
-        ordered = np.sort((owner * top + (top - 1 - np.minimum(count, top - 1))) * width + (keys - owner * width))
-        gram = ordered % width
+        gram = keys - owner * width
+        if (int(owner[-1]) + 1) * top * width < 2**63:
+            gram = np.sort((owner * top + (top - 1 - count)) * width + gram) % width
+        else:
+            gram = gram[np.lexsort((gram, -count, owner))]
         begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         distinct = np.diff(np.append(begin, len(owner)))
-        place = np.minimum(np.arange(len(owner)) - np.repeat(begin, distinct), 32_000).astype(np.int16)
+        place = (np.arange(len(owner)) - np.repeat(begin, distinct)).astype(self.rank.dtype)
         rows = owner[begin]
         for j, rank in enumerate(self.ranks):
             far[rows, j] = np.add.reduceat(np.abs(rank[gram] - place), begin, dtype=np.int64) / distinct
@@ -264,16 +272,17 @@ def language_codes(lang_codes: DataFrame) -> list[tuple[str, str, str]]:
 
 
 def fit_from_documents(documents: DataFrame, codes: list[tuple[str, str, str]], key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = FIT_DOCUMENTS) -> Profiles:
-    """Profiles fitted on at most ``most`` labelled documents of each language, those of the smallest hashes of the key.
+    """Profiles fitted on at most ``most`` labelled documents of each language, chosen by hashes of key and text.
 
     One aggregation counts each language's documents; from the counts follows how small a
-    hash must be so that a few more than ``most`` pass. Only these, cut to ``FIT_CHARS``
-    characters for the fit, come to the driver, at any size of the corpus.
+    hash must be so that about as many as needed pass. Of these each task keeps ``most`` of a
+    language at the most, also where copies of one record are a great part of all rows;
+    only the chosen ones come to the driver, whole, at any size of the corpus.
     """
     label = label_code(F.col(lang), codes)
     space = 1 << 40
-    place = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(space))
-    usable = documents.where(F.col(text).isNotNull()).select(label.alias("lang"), place.alias("place"), F.substring(F.col(text), 1, FIT_CHARS).alias("text"))
+    place = F.pmod(F.xxhash64(F.lit(11), F.col(key), F.col(text)), F.lit(space))
+    usable = documents.where(F.col(text).isNotNull()).select(label.alias("lang"), place.alias("place"), F.col(text).alias("text"))
     counts = {r["lang"]: r["count"] for r in usable.where("lang is not null").groupBy("lang").count().collect()}
     if not counts:
         return Profiles({})
@@ -281,10 +290,12 @@ def fit_from_documents(documents: DataFrame, codes: list[tuple[str, str, str]],
     chosen = F.lit(False)
     for name, n in counts.items():
         chosen = chosen | ((F.col("lang") == name) & (F.col("place") < int(space * min(1.0, wanted / n))))
+    first = Window.partitionBy("lang").orderBy("place")
+    kept = usable.where(chosen).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
     by_lang: dict[str, list] = defaultdict(list)
-    for r in usable.where(chosen).collect():
+    for r in kept.select("lang", "place", "text").collect():
         by_lang[r["lang"]].append((r["place"], r["text"]))
-    return fit_profiles((name, t) for name in sorted(by_lang) for _, t in sorted(by_lang[name])[:most])
+    return fit_profiles((name, t) for name in sorted(by_lang) for _, t in sorted(by_lang[name]))
 
 
 def passages_of(texts: list[str | None], profiles: Profiles, margin: float = FOREIGN_MARGIN, least: int = LEAST_WORDS) -> list[tuple[str | None, float, list[tuple[int, int, str, float, int]]]]:

@@ -4,24 +4,23 @@ The plan is made from the size of each source by capped water-filling: a source
 would have to be repeated more often than it may is held at its cap, and what it cannot
 give is spread over the others in proportion to their weights, until no source exceeds
 its cap. The draw is seeded: every record gets the whole repetitions, and the fraction
-goes to the records whose seeded hash lies below a threshold that is set so that the
-tokens, not just the rows, come out right.
+goes to the records in those bins of a seeded hash whose tokens, not just rows, add up to what is wanted.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumdex.llm import tokenizer
 
-#: Bins of the seeded hash per source; the threshold is exact to one bin's tokens.
+#: Bins of the seeded hash per source; a source's share is exact to a part of one bin's tokens.
 HASH_BINS = 4096
 
-PLAN_SCHEMA = "source string, target_share double, planned_share double, n_docs bigint, source_tokens bigint, max_repeats int, epochs double, whole int, cut int, skipped array<int>"
+PLAN_SCHEMA = "source string, target_share double, planned_share double, n_docs bigint, source_tokens bigint, max_repeats int, epochs double, whole int, taken string"
 
 
 def clean_source(col: Column | str) -> Column:
@@ -73,23 +72,23 @@ def _sized(documents: DataFrame, text: str, key: str, source: str, seed: int, le
     return materialize(named.where("source is not null"))
 
 
-def _threshold(bins: list[int], rest: float, most_skipped: int = 16) -> tuple[int, list[int]]:
-    """How many leading hash bins to take so that their tokens come closest to ``rest``.
+def _taken(bins: list[int], rest: float) -> str:
+    """Which hash bins to take so that their tokens come close to ``rest``: a ``1`` for each that is, else a ``0``.
 
-    A bin that overshoots (it may hold one very long record) is left out and later ones
-    are tried, up to ``most_skipped`` times.
+    In order, a bin is taken if it still fits; one that does not (it may hold a very long
+    record) is left out, and all later ones are tried. What is missing at the end is less than any bin that
+    was left out; the single bin that mends most of it, by coming in or by going out, is changed.
     """
-    cut, run, skipped, passed = 0, 0, [], []
+    run, taken = 0, [False] * len(bins)
     if rest < 0.5:
-        return 0, []
+        return "0" * len(bins)
     for i, tokens in enumerate(bins):
-        if abs(run + tokens - rest) <= abs(run - rest):
-            run, cut, skipped = run + tokens, i + 1, list(passed)
-        elif len(passed) < most_skipped:
-            passed.append(i)
-        else:
-            break
-    return cut, skipped
+        if tokens and run + tokens <= rest:
+            run, taken[i] = run + tokens, True
+    best = min((i for i, tokens in enumerate(bins) if tokens), key=lambda i: abs(run + (-bins[i] if taken[i] else bins[i]) - rest), default=None)
+    if best is not None and abs(run + (-bins[best] if taken[best] else bins[best]) - rest) < abs(run - rest):
+        taken[best] = not taken[best]
+    return "".join("1" if t else "0" for t in taken)
 
 
 def plan_mixture(sized: DataFrame, targets: DataFrame, total: float | str | None = None) -> DataFrame:
@@ -120,8 +119,8 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, total: float | str | None
     for s in sorted(goals):
         epochs = take.get(s, 0.0) / sizes[s] if sizes[s] else 0.0
         whole = int(math.floor(epochs + 1e-9))
-        cut, skipped = _threshold(sums[s], max(0.0, (epochs - whole) * sizes[s]))
-        rows.append((s, good[s] / sum(good.values()) if s in good else 0.0, take.get(s, 0.0) / (sum(take.values()) or 1.0), docs[s], sizes[s], 1 if caps[s] is None else caps[s], epochs, whole, cut, skipped))
+        taken = _taken(sums[s], max(0.0, (epochs - whole) * sizes[s]))
+        rows.append((s, good[s] / sum(good.values()) if s in good else 0.0, take.get(s, 0.0) / (sum(take.values()) or 1.0), docs[s], sizes[s], 1 if caps[s] is None else caps[s], epochs, whole, taken))
     return spark.createDataFrame(rows, PLAN_SCHEMA)
 
 
@@ -130,8 +129,8 @@ def draw(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
     The plan has one row per target, so that it is broadcast whatever the corpus size.
     """
-    small = F.broadcast(plan.select("source", "whole", "cut", "skipped"))
-    repeats = F.col("whole") + F.when((F.col("bin") < F.col("cut")) & ~F.array_contains("skipped", F.col("bin")), 1).otherwise(0)
+    small = F.broadcast(plan.select("source", "whole", "taken"))
+    repeats = F.col("whole") + F.substring(F.col("taken"), F.col("bin") + 1, F.lit(1)).cast("int")
     return sized.join(small, "source").select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
 
 
@@ -153,10 +152,9 @@ def report(mix: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source: its target, planned and reached share, and what was taken."""
     got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.sum(F.col("repeats").cast("bigint")).alias("copies"), F.max("repeats").alias("most_repeats"))
     joined = plan.join(got, "source", "left")
-    everything = got.agg(F.sum("tokens").alias("all_tokens"))
-    share = F.when(F.col("all_tokens") > 0, F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).otherwise(F.lit(0.0))
-    return joined.join(F.broadcast(everything)).select(
-        "source", "target_share", "planned_share", share.alias("reached_share"), "n_docs", "source_tokens",
+    share = F.coalesce("tokens", F.lit(0)) / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0))  # one row per target
+    return joined.select(
+        "source", "target_share", "planned_share", F.coalesce(share, F.lit(0.0)).alias("reached_share"), "n_docs", "source_tokens",
         F.coalesce("tokens", F.lit(0)).cast(T.LongType()).alias("tokens"), F.coalesce("copies", F.lit(0)).cast(T.LongType()).alias("copies"),
         F.coalesce("most_repeats", F.lit(0)).cast("int").alias("most_repeats"), "max_repeats", "epochs",
     )
