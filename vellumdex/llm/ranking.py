@@ -2,8 +2,9 @@
 
 Each score is replaced by its rank within the group (0 worst, 1 best, ties share the mean
 rank, missing values are worst). The correlation matrix of these ranks over all rows is
-one distributed aggregation; its first principal component, with the signs of the
-loadings set so that better ranks raise the result, weighs the ranks into one number.
+one distributed aggregation; its first principal component, turned as a whole so that better
+ranks raise the result, weighs the ranks into one number. Groups that fit into a task are ranked by
+windows over one exchange; only larger ones take the way over counted values and buckets.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumdex.session import materialize
@@ -19,7 +20,7 @@ from vellumdex.session import materialize
 # The scores of a search result and whether more or less is better.
 SEARCH_SIGNALS = {"fusion_score": "higher", "rerank_score": "higher", "vector_rank": "lower", "bm25_rank": "lower"}
 
-#: Distinct values of one score in one group that a task sorts; larger groups are cut at quantiles.
+#: Rows of one group that a task sorts; larger groups are counted by value and cut at quantiles.
 BUCKET_ROWS = 100_000
 
 
@@ -70,14 +71,43 @@ def counts_below(long: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return _beside(ranked, sizes, keys).select(*keys, "value", "n", "below", "size")
 
 
+def large_groups(rows: DataFrame, group: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame | None:
+    """The groups with more rows than a task ranks at once (there are at most rows / ``bucket_rows``); null if there are none."""
+    large = materialize(rows.groupBy(F.col(group).alias("_large")).agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("_large"))
+    return None if large.isEmpty() else large
+
+
+def _directed(signals: Mapping[str, str]) -> list[Column]:
+    """Each score as a double of which more is better; null and NaN are null."""
+    return [F.when(F.col(s).isNotNull() & ~F.isnan(F.col(s).cast("double")), F.col(s).cast("double") * (1 if way == "higher" else -1) + F.lit(0.0)) for s, way in signals.items()]
+
+
 def rank_transform(rows: DataFrame, group: str, item: str, signals: Mapping[str, str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``group, item`` and for each score ``r_<score>`` from 0 (worst) to 1 (best).
 
     The mean rank of tied values over the group's size, counting what lies below. Null and
-    NaN take part as one tied worst value of rank 0.
+    NaN take part as one tied worst value of rank 0. Both ways give equal ranks.
     """
-    values = [F.when(F.col(s).isNull() | F.isnan(F.col(s).cast("double")), None).otherwise(F.col(s).cast("double") * (1 if way == "higher" else -1)) for s, way in signals.items()]
-    pairs = F.array(*[F.struct(F.lit(i).alias("signal"), (v + F.lit(0.0)).alias("value")) for i, v in enumerate(values)])
+    large = large_groups(rows, group, bucket_rows)
+    if large is None:
+        return _ranked_by_windows(rows, group, item, signals)
+    is_large = F.col(group).eqNullSafe(F.col("_large"))
+    return _ranked_by_windows(rows.join(large, is_large, "left_anti"), group, item, signals).unionByName(_ranked_by_counts(rows.join(large, is_large, "left_semi"), group, item, signals, bucket_rows))
+
+
+def _ranked_by_windows(rows: DataFrame, group: str, item: str, signals: Mapping[str, str]) -> DataFrame:
+    values = rows.select(group, item, *[v.alias(f"_v{i}") for i, v in enumerate(_directed(signals))])
+    whole = Window.partitionBy(group)
+    out = values.withColumn("_size", F.count("*").over(whole))
+    for i, s in enumerate(signals):
+        ties = whole.orderBy(F.asc_nulls_first(f"_v{i}"))
+        mean = F.rank().over(ties) - 1 + (F.count("*").over(ties.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+        out = out.withColumn(f"r_{s}", F.when(F.col(f"_v{i}").isNull() | (F.col("_size") < 2), 0.0).otherwise(mean / (F.col("_size") - 1)))
+    return out.select(group, item, *[f"r_{s}" for s in signals])
+
+
+def _ranked_by_counts(rows: DataFrame, group: str, item: str, signals: Mapping[str, str], bucket_rows: int) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(i).alias("signal"), v.alias("value")) for i, v in enumerate(_directed(signals))])
     long = rows.select(F.col(group).alias("grp"), F.col(item).alias("item"), F.explode(pairs).alias("p")).select("grp", "item", "p.signal", "p.value")
     mean = (F.col("below") + (F.col("n") - 1) / 2) / (F.col("size") - 1)
     placed = counts_below(long, bucket_rows).select("grp", "signal", "value", F.when(F.col("value").isNull() | (F.col("size") < 2), 0.0).otherwise(mean).alias("rank"))
@@ -88,18 +118,26 @@ def rank_transform(rows: DataFrame, group: str, item: str, signals: Mapping[str,
 
 def with_rank(fused: DataFrame, group: str = "query_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``fused`` with ``rank``: 1 for the best of a group; equal results share the smallest rank of theirs."""
-    long = fused.select(F.col(group).alias("grp"), F.lit(0).alias("signal"), F.col("fused").alias("value"))
+    by_window = lambda rows: rows.withColumn("rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc("fused"))))
+    large = large_groups(fused, group, bucket_rows)
+    if large is None:
+        return by_window(fused)
+    is_large = F.col(group).eqNullSafe(F.col("_large"))
+    rest = fused.join(large, is_large, "left_semi")
+    long = rest.select(F.col(group).alias("grp"), F.lit(0).alias("signal"), F.col("fused").alias("value"))
     placed = counts_below(long, bucket_rows).select(F.col("grp").alias(group), F.col("value").alias("fused"), (F.col("size") - F.col("below") - F.col("n") + 1).cast("int").alias("rank"))
-    return _beside(fused, placed, [group, "fused"])
+    return by_window(fused.join(large, is_large, "left_anti")).unionByName(_beside(rest, placed, [group, "fused"]))
 
 
 def principal_weights(ranks: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Loadings of the first principal component of the columns' correlation matrix.
+    """Weights of the columns from the first principal component of their correlation matrix.
 
     One aggregation gives all sums of products; the matrix has as many rows as there are
-    scores. Each loading's sign follows the declared direction, which the ranks already
-    have, so that it is never negative. A score without variance gets no weight; if none
-    varies, all weigh alike.
+    scores. The component is turned as a whole so that its loadings, which the declared
+    directions of the ranks make alike in sign, add up to more than 0. A score that still loads
+    against its declared direction opposes the others; it gets no weight, since with a negative one a
+    missing value would help. A score without variance gets none either; if none varies, all
+    weigh alike.
     """
     k = len(columns)
     sums = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]]
@@ -115,8 +153,10 @@ def principal_weights(ranks: DataFrame, columns: Sequence[str]) -> dict[str, flo
     if not live.any():
         return dict.fromkeys(columns, 1.0 / k)
     corr = cov[np.ix_(live, live)] / np.outer(deviation[live], deviation[live])
+    component = np.linalg.eigh((corr + corr.T) / 2)[1][:, -1]
+    component = component if component.sum() >= 0 else -component
     loading = np.zeros(k)
-    loading[live] = np.abs(np.linalg.eigh((corr + corr.T) / 2)[1][:, -1]) / deviation[live]
+    loading[live] = np.clip(component, 0, None) / deviation[live]
     return dict(zip(columns, (loading / loading.sum()).tolist()))
 
 
@@ -127,7 +167,7 @@ def fuse_rankings(rows: DataFrame, group: str = "query_id", item: str = "chunk_r
     count once. A group of one item has rank 0 in all scores. Null groups form one group,
     null items are kept as one item.
     """
-    single = deduplicated(rows, group, item, list(signals), latest)
+    single = materialize(deduplicated(rows, group, item, list(signals), latest))
     ranks = materialize(rank_transform(single, group, item, signals))
     columns = [f"r_{s}" for s in signals]
     weights = principal_weights(ranks, columns)
@@ -135,6 +175,6 @@ def fuse_rankings(rows: DataFrame, group: str = "query_id", item: str = "chunk_r
 
 
 def first_of_group(fused: DataFrame, group: str = "query_id", item: str = "chunk_rowid") -> DataFrame:
-    """``group, item`` of the item that stands first, by an aggregation instead of a sort."""
-    best = fused.groupBy(group).agg(F.max_by(item, F.struct("fused", (-F.col(item)).alias("i"))).alias(item))
-    return best.select(group, item)
+    """``group, item`` of the item that stands first, by an aggregation instead of a sort; items of any type, null last."""
+    best = fused.groupBy(group).agg(F.min(F.struct((-F.col("fused")).alias("worse"), F.col(item).isNull().alias("void"), F.col(item).alias("item"))).alias("best"))
+    return best.select(group, F.col("best.item").alias(item))
