@@ -5,21 +5,26 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumdex.operators.incremental import IncrementalJob, changed_records, run_bound
+from vellumdex.operators.incremental import IncrementalJob, follow_log, run_bound, successful_runs
 from vellumdex.session import shared_dir, table
 
 
 def p2_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One committed run over the changed documents: ``doc_id, change, document_hash``.
+    """The second of a job's runs over the changed documents: ``doc_id, change, document_hash``.
 
-    The bound is the greatest successful run when the run starts. The output is read back
-    from the commit.
+    The first run brings the job's states up to the middle of the successful runs. The second one, bounded
+    by the greatest successful run when it starts, reads only what the log got after
+    the first one's watermark and compares the documents with the states of both. The output is
+    read back from the commit.
     """
     documents, log, runs = (table(spark, sf_dir, n) for n in ("documents", "ingest_log", "ingest_runs"))
     job = IncrementalJob(spark, f"{shared_dir(spark)}/jobs/ingest-{uuid.uuid4().hex}")
-    run = job.run(run_bound(runs), lambda r: changed_records(documents, log, runs, r.high).select("doc_id", "change", "document_hash"))
-    return job.read_run(run.number)
+    middle = successful_runs(runs).agg(F.percentile_approx("run_id", 0.5).alias("m")).first()["m"]
+    follow_log(job, log, runs, None, middle)
+    run = follow_log(job, log, runs, documents, run_bound(runs), columns=["doc_id", "document_hash"])
+    return job.read_run(run.number, "changes")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,10 +124,15 @@ def bm25_duplicate_terms(spark, sf_dir):
 _DEFAULTS = "(select collection_id from collections where include_by_default or not exists (select 1 from collections where include_by_default))"
 
 
-def default_ids(spark, sf_dir) -> list[str]:
+def _default_collections(spark, sf_dir) -> DataFrame:
     """Collections searched by default: the marked ones, else all."""
-    rows = table(spark, sf_dir, "collections").select("collection_id", "include_by_default").collect()
-    return [r["collection_id"] for r in rows if r["include_by_default"]] or [r["collection_id"] for r in rows]
+    rows = table(spark, sf_dir, "collections").select("collection_id", F.coalesce("include_by_default", F.lit(False)).alias("marked"))
+    chosen = rows.withColumn("any", F.max("marked").over(Window.partitionBy()))  # the registry's few rows
+    return chosen.where("marked or not any").select("collection_id")
+
+
+def default_ids(spark, sf_dir) -> list[str]:
+    return [r["collection_id"] for r in _default_collections(spark, sf_dir).collect()]
 
 
 @query(f"with {_bm25(_ONE, 'c.collection_id in ' + _DEFAULTS)} select id, score, rank from ranked where rank <= 20")
@@ -469,7 +474,7 @@ def delete_cascade(spark, sf_dir):
 
 @query("select collection_id from collections where include_by_default or not exists (select 1 from collections where include_by_default)")
 def default_collections(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in default_ids(spark, sf_dir)], "collection_id string")
+    return _default_collections(spark, sf_dir)
 
 
 @query("""with n as (select c.collection_id, c.name, (select count(*) from documents d where d.collection_id = c.collection_id) as documents, (select count(*) from chunks k where k.collection_id = c.collection_id) as chunks,
@@ -505,10 +510,8 @@ _CONTEXTS = """ctx as (select null as scope, '' as prefix, 'all notes' as text,
 @query(f"with {_CONTEXTS} select doc_id, count(*) as n, max(length(prefix)) as longest from hit group by doc_id")
 def context_prefix_join(spark, sf_dir):
     """How many contexts apply to each document, and the longest prefix."""
-    documents, contexts = table(spark, sf_dir, "documents"), _contexts(spark, sf_dir).where("trim(text) != ''")
-    paths = documents.select("doc_id", "collection_id", F.explode(context.folders_of(context.clean_path(F.col("relative_path")))).alias("path_prefix"))
-    hits = paths.alias("p").join(contexts.alias("c"), "path_prefix").where("c.collection_id is null or c.collection_id = p.collection_id")
-    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("path_prefix")).cast("bigint").alias("longest"))
+    found = context.applying_contexts(table(spark, sf_dir, "documents"), _contexts(spark, sf_dir)).select("doc_id", F.explode("found").alias("c"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("c.length").cast("bigint").alias("longest"))
 
 
 @query(f"with {_CONTEXTS} select d.doc_id, coalesce(string_agg(h.text, chr(10) || chr(10) order by length(h.prefix), case when h.scope is null then 0 else 1 end, h.made), '') as context_text from documents d left join hit h using (doc_id) group by d.doc_id")

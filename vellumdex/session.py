@@ -55,14 +55,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> str:
+    """Writes ``df`` once as compressed Parquet in the shared folder; the new folder, which goes with the shared one."""
+    folder = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return folder
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as compressed Parquet in the shared folder and read back.
 
     Where many rows are used several times, this is smaller on disk than a checkpoint and
-    lets each reader prune columns and rows. The folder goes with the shared folder.
+    lets each reader prune columns and rows.
     """
-    folder = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    folder = stored(df)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
