@@ -40,7 +40,7 @@ def test_batch_ranking_limits_groups_before_the_shuffle(spark, stored):
 
 def test_contexts_are_an_equi_join(spark):
     docs = spark.createDataFrame([("d", "A", "a/b.md")], "doc_id string, collection_id string, relative_path string")
-    ctx = spark.createDataFrame([(None, "a", "x", "1")], "collection_id string, path_prefix string, text string, created_at string")
+    ctx = spark.createDataFrame([(None, "a", "x", "1"), ("A", "", "y", "2")], "collection_id string, path_prefix string, text string, created_at string")
     text = plan(context_texts(docs, ctx))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
 

@@ -34,8 +34,33 @@ def test_blocks_give_the_same(spark, vectors, monkeypatch):
     data, df = vectors
     frame = spark.createDataFrame([(i, [float(x) for x in data[i]]) for i in range(7)], "query_id int, vector array<double>")
     whole = {tuple(r) for r in vector.vector_batch_topk(df, frame, 3).collect()}
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 2)
-    assert {tuple(r) for r in vector.vector_batch_topk(df, frame, 3).collect()} == whole
+    for name, value in (("QUERY_BLOCK", 2), ("HELD_BYTES", 1000), ("SLICE_ROWS", 7)):
+        monkeypatch.setattr(vector, name, value)
+        assert {tuple(r) for r in vector.vector_batch_topk(df, frame, 3).collect()} == whole
+
+
+def test_a_slice_keeps_ties_and_the_running_best():
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    keys = r.permutation(500)
+    stored = r.integers(0, 3, (500, 2)).astype(float)
+    queries = r.integers(-1, 3, (4, 2)).astype(float)
+    for k in (1, 5, 700):
+        place, score = vector._best(queries, stored, pa.array(keys), k, 6)
+        for q, places, scores in zip(queries, place, score):
+            want = sorted(range(500), key=lambda i: (-(stored[i] @ q), keys[i]))[:k]
+            assert list(places) == want and list(scores) == [stored[i] @ q for i in want]
+
+
+def test_batch_search_leaves_queries_to_the_tasks(spark, vectors):
+    import inspect
+
+    _, df = vectors
+    source = inspect.getsource(vector.vector_batch_topk)
+    assert "collect" not in source and "toLocalIterator" not in source
+    text = vector.vector_batch_topk(df, spark.createDataFrame([(1, [1.0] * 8)], "query_id int, vector array<double>"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text and text.count("MapInArrow") == 1
 
 
 def test_dimensions(spark, vectors):

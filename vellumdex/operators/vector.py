@@ -1,8 +1,8 @@
 """Exact vector search: inner product over unit vectors.
 
 Two paths with equal results. The native one is an expression and suits a single query;
-the block one multiplies a matrix of queries with Arrow batches of vectors in numpy and
-keeps only the best of each batch, which is the path for many queries on large tables.
+the block one multiplies blocks of queries with a task's vectors in numpy and returns only
+the task's best, which is the path for many queries on large tables.
 """
 
 from __future__ import annotations
@@ -11,13 +11,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from vellumdex.session import stored
+
 #: Queries that go through the vectors together; a block's matrix is at most 8 MB at 1024 dimensions.
 QUERY_BLOCK = 1024
+#: Bytes of vectors that a task holds while the queries pass, and rows of them that are multiplied at once.
+HELD_BYTES = 128 << 20
+SLICE_ROWS = 4096
 
 
 class VectorDimensionError(ValueError):
@@ -66,55 +72,82 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = 20, key: st
 def vector_batch_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "vector", digits: int = 6) -> DataFrame:
     """``query_id, key, score, rank``: the ``k`` nearest vectors of every query.
 
-    Queries are numbered and cut into blocks of ``QUERY_BLOCK``; each block goes to all
-    tasks, which return their own ``k`` best rows of each query, and a window picks the
-    best of these. The pass over the vectors is repeated for each block.
+    The queries are written once to the shared folder. Each task takes up vectors as long as they
+    fit into ``HELD_BYTES``, reads the queries in blocks of ``QUERY_BLOCK`` from there, and returns its ``k``
+    best of each query for all vectors it holds; a window picks the best of these. Nothing passes through
+    the driver, and the vectors are scanned once however many queries there are.
     """
-    numbered = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
-    out = None
-    rows = numbered.orderBy("query_id").toLocalIterator(prefetchPartitions=True)
-    block: list = []
-    blocks = []
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            blocks.append(_block_topk(vectors, block, k, key, vector, digits, queries.schema[query_id].dataType))
-            block = []
-    if block or not blocks:
-        blocks.append(_block_topk(vectors, block, k, key, vector, digits, queries.schema[query_id].dataType))
-    for part in blocks:
-        out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.withColumnRenamed("query_id", query_id)
-
-
-def _block_topk(vectors: DataFrame, block: list, k: int, key: str, vector: str, digits: int, kind: T.DataType) -> DataFrame:
-    ids = [r["query_id"] for r in block]
-    matrix = np.array([r["v"] for r in block], np.float64) if block else np.zeros((0, 0))
+    asked = stored(queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v")))
+    kind, stored_kind = queries.schema[query_id].dataType, vectors.schema[key].dataType
     arrow = to_arrow_type(kind)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            lists = batch.column(1)
-            stored = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            if stored.shape[1] != matrix.shape[1]:
-                raise VectorDimensionError(f"queries of {matrix.shape[1]} dimensions against vectors of {stored.shape[1]}")
-            scores = np.round(matrix @ stored.T, digits)
-            keys = np.asarray(batch.column(0))
-            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-            rows = np.arange(len(ids))[:, None]
-            width = order.shape[1]
-            yield pa.record_batch(
-                [pa.array([q for q in ids for _ in range(width)], arrow), batch.column(0).take(pa.array(order.ravel())), pa.array(scores[rows, order].ravel())],
-                ["query_id", "key", "score"],
-            )
-
-    stored_kind = vectors.schema[key].dataType.simpleString()
+        for keys, matrix in _held(batches):
+            for block in _query_blocks(asked):
+                wanted = _matrix(block.column(1))
+                if wanted.shape[1] != matrix.shape[1]:
+                    raise VectorDimensionError(f"queries of {wanted.shape[1]} dimensions against vectors of {matrix.shape[1]}")
+                place, score = _best(wanted, matrix, keys, k, digits)
+                ids = block.column(0).cast(arrow).take(pa.array(np.repeat(np.arange(block.num_rows), place.shape[1])))
+                yield pa.record_batch([ids, keys.take(pa.array(place.ravel())), pa.array(score.ravel())], ["query_id", "key", "score"])
+
     chosen = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    return chosen.mapInArrow(search, f"query_id {kind.simpleString()}, key {stored_kind}, score double").withColumnRenamed("key", key)
+    found = chosen.mapInArrow(search, f"query_id {kind.simpleString()}, key {stored_kind.simpleString()}, score double").withColumnRenamed("key", key)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("query_id", query_id)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix of doubles."""
+    length = np.unique(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    if len(length) != 1:
+        raise VectorDimensionError(f"vectors of {length.min()} to {length.max()} dimensions in one table")
+    return np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), -1)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Keys and vectors of as many batches as fit into ``HELD_BYTES`` together."""
+    keys: list[pa.Array] = []
+    parts: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys.append(batch.column(0))
+        parts.append(_matrix(batch.column(1)))
+        if parts[-1].shape[1] != parts[0].shape[1]:
+            raise VectorDimensionError(f"vectors of {parts[0].shape[1]} and {parts[-1].shape[1]} dimensions in one table")
+        if sum(p.nbytes for p in parts) >= HELD_BYTES:
+            yield pa.concat_arrays(keys), np.concatenate(parts)
+            keys, parts = [], []
+    if parts:
+        yield pa.concat_arrays(keys), np.concatenate(parts)
+
+
+def _query_blocks(folder: str) -> Iterator[pa.RecordBatch]:
+    """The queries in the shared folder, block by block."""
+    where, path = fs.FileSystem.from_uri(folder)
+    yield from (b for b in dataset.dataset(path, filesystem=where, format="parquet").to_batches(batch_size=QUERY_BLOCK) if b.num_rows)
+
+
+def _best(queries: np.ndarray, stored: np.ndarray, keys: pa.Array, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the ``k`` best rows of ``stored`` for each query, found slice by slice with a running best."""
+    order_of = np.asarray(pc.rank(keys, tiebreaker="first")).astype(np.int64)
+    place, score = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0))
+    for a in range(0, len(stored), SLICE_ROWS):
+        fresh = np.round(queries @ stored[a : a + SLICE_ROWS].T, digits)
+        here = np.arange(a, a + fresh.shape[1])
+        if fresh.shape[1] > k:  # all that reach the slice's k-th best score, ties included
+            least = np.partition(fresh, -k, axis=1)[:, -k]
+            most = int((fresh >= least[:, None]).sum(axis=1).max())
+            some = np.argpartition(-fresh, most - 1, axis=1)[:, :most]
+        else:
+            some = np.broadcast_to(np.arange(fresh.shape[1]), fresh.shape)
+        place = np.concatenate([place, here[some]], axis=1)
+        score = np.concatenate([score, np.take_along_axis(fresh, some, axis=1)], axis=1)
+        order = np.lexsort((order_of[place], -score), axis=1)[:, :k]
+        place, score = np.take_along_axis(place, order, axis=1), np.take_along_axis(score, order, axis=1)
+    return place, score
 
 
 def checked_vectors(chunks: DataFrame, cache: DataFrame, model: str | None = None, key: str = "id") -> DataFrame:
