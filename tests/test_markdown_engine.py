@@ -87,6 +87,20 @@ def test_scan(spark, notes):
     assert "sub/deep.md" in {r["relative_path"] for r in markdown.scan_markdown(spark, str(notes), "**/*.md").collect()}
 
 
+def test_masks(spark, tmp_path):
+    import pathlib
+
+    root = tmp_path / "masks"
+    for name in ("a.md", "_x.md", "docs/b.md", "docs/_y.md", "docs/deep/c.md", "other/d.md", "_priv/e.md", ".git/f.md", "docs/.g.md", "docs/h.txt", "with space/é.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    for mask in ("*.md", "**/*.md", "docs/*.md", "docs/**/*.md", "*/*.md", "**/?.md", "[ab].md", "**/[!a].md", "**/deep/*.md", "none/*.md"):
+        want = {str(p.relative_to(root)) for p in root.glob(mask) if p.is_file() and not any(x.startswith(".") for x in p.relative_to(root).parts)}
+        rows = markdown.scan_markdown(spark, str(root), mask).collect()
+        assert {r["relative_path"] for r in rows} == want, mask
+        assert all(r["text"] == r["relative_path"] and r["source_path"] == f"{root}/{r['relative_path']}" and len(r["updated_at"]) == 19 for r in rows)
+
+
 def test_ingest_search_update(spark, notes, tmp_path):
     engine = engine_of(spark, tmp_path)
     first = engine.ingest(str(notes))
@@ -175,13 +189,80 @@ def test_providers(spark):
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-9 and set(v[1]) == {0.0}
     assert providers.unit([3, 4]) == [0.6, 0.8]
     assert providers.scattered([{"index": 1, "relevance_score": 0.5}, {"index": 9, "relevance_score": 1.0}], 2) == [0.0, 0.5]
-    assert json.loads(providers.in_subprocess(LikesBeta().score, json.dumps({"query": "q", "documents": ["beta"]}))) == {"scores": [1.0]}
+    assert [len(p) for p in providers.sliced(["a" * 3, "b" * 3, "c" * 9, "d"], 6)] == [2, 1, 1] and list(providers.sliced([])) == []
     with pytest.raises(providers.ProviderError):
         providers.resolve_embedder("none")
     df = spark.createDataFrame([("alpha",), (None,)], "t string").select(providers.embedding_of(TwoWords(), F.col("t")).alias("v"))
     assert [list(r["v"]) for r in df.collect()] == [[1.0, 0.0], [0.5, 0.5]]
 
 
+class _Tensor(list):
+    """What the reranker needs of a tensor."""
+
+    logits = property(lambda self: self)
+    to = detach = cpu = lambda self, *_: self
+
+    def tolist(self):
+        return list(self)
+
+
+def _stub_models(monkeypatch, logits):
+    import contextlib
+    import types
+
+    seen = {}
+
+    class Model:
+        @classmethod
+        def from_pretrained(cls, name, **options):
+            seen["kind"] = cls.__name__
+            return cls()
+
+        eval = lambda self: self
+        to = lambda self, device: self
+
+        def __call__(self, **batch):
+            return _Tensor(logits(seen["prompts"]))
+
+    class Tokenizer(Model):
+        convert_tokens_to_ids = staticmethod({"no": 1, "yes": 2}.get)
+
+        def __call__(self, prompts, **options):
+            seen["prompts"], seen["options"] = prompts, options
+            return {"input_ids": _Tensor()}
+
+    names = {"AutoModelForSequenceClassification": type("Classifier", (Model,), {}), "AutoModelForCausalLM": type("Causal", (Model,), {}), "AutoTokenizer": Tokenizer}
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(no_grad=contextlib.nullcontext, backends=types.SimpleNamespace()))
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(**names))
+    monkeypatch.setattr(providers, "_models", {})
+    return seen
+
+
+def test_local_reranker_as_a_classifier(monkeypatch):
+    seen = _stub_models(monkeypatch, lambda prompts: [[2.0] if "beta" in p else [-2.0] for p in prompts])
+    reranker = providers.resolve_reranker("local", instruction="Find it.")
+    assert [round(x, 4) for x in reranker.score("q", ["beta", "x"])] == [0.8808, 0.1192] and reranker.score("q", []) == []
+    assert seen["prompts"][0].startswith("<|im_start|>system") and "<Instruct>: Find it.\n<Query>: q\n<Document>: beta<|im_end|>" in seen["prompts"][0]
+    assert seen["options"]["max_length"] == 8192
+
+
+def test_local_reranker_as_a_language_model(monkeypatch):
+    seen = _stub_models(monkeypatch, lambda prompts: [[[9.0, 9.0, 9.0], [5.0, 1.0, 3.0 if "beta" in p else -1.0]] for p in prompts])
+    scores = providers.resolve_reranker("local", "some/causal-model").score("q", ["beta", "x"])
+    assert [round(x, 4) for x in scores] == [0.8808, 0.1192]  # of the last token, yes against no
+    assert seen["prompts"][1] == f"<Instruct>: {providers.INSTRUCTION}\n<Query>: q\n<Document>: x"
+
+
+def test_reranker_in_its_own_process():
+    worker = "import json, sys; d = json.load(sys.stdin); print(json.dumps({'scores': [len(x) for x in d['documents']]}))"
+    assert providers.SubprocessReranker(command=(sys.executable, "-c", worker)).score("q", ["ab", "c"]) == [2.0, 1.0]
+    for bad in ("import sys; sys.exit('out of memory')", "print('no json')", "print('{}')"):
+        with pytest.raises(providers.ProviderError):
+            providers.SubprocessReranker(command=(sys.executable, "-c", bad)).score("q", ["ab"])
+    with pytest.raises(providers.ProviderError, match="torch and transformers|failed"):
+        providers.resolve_reranker("local", own_process=True).score("q", ["ab"])
+
+
 def test_stream_applies_each_batch_once(spark, notes, tmp_path):
     from vellumdex.streaming import ingest
 

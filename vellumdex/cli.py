@@ -42,7 +42,7 @@ def cmd_search(args) -> None:
         print("[]")
         return
     engine = _engine(args, args.mode != "fulltext")
-    reranker = resolve_reranker(args.reranker_provider, args.reranker_model, args.reranker_device) if getattr(args, "use_reranker", False) else None
+    reranker = resolve_reranker(args.reranker_provider, args.reranker_model, args.reranker_device, own_process=args.reranker_process) if getattr(args, "use_reranker", False) else None
     found = engine.search(args.query, args.mode, args.top_k, collection=args.collection, reranker=reranker, rerank_top_k=getattr(args, "rerank_top_k", 20))
     print(engine.payload(found, args.show_chunk_type))
 
@@ -127,6 +127,7 @@ def build_parser() -> argparse.ArgumentParser:
             p.add_argument("--reranker-provider", choices=["local", "cohere", "openrouter"], default="local")
             p.add_argument("--reranker-model")
             p.add_argument("--rerank-top-k", type=int, default=20)
+            p.add_argument("--reranker-process", action="store_true", help="run a local model in a process of its own")
             p.add_argument("--reranker-device", choices=["auto", "mps", "cpu"], default="auto")
     p = command("eval", cmd_eval, True)
     p.add_argument("--golden", default="tests/golden.yaml")

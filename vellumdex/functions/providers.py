@@ -11,10 +11,12 @@ import hashlib
 import json
 import math
 import os
+import subprocess
+import sys
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -168,35 +170,104 @@ def scattered(results: Sequence[dict], n: int) -> list[float]:
     return out
 
 
+# Default models, the instruction and the prompts that local rerankers were trained with.
+LOCAL_RERANKER = "tomaarsen/Qwen3-Reranker-0.6B-seq-cls"
+REMOTE_RERANKERS = {
+    "cohere": ("https://api.cohere.com/v2/rerank", "rerank-v4.0-fast", "COHERE_API_KEY"),
+    "openrouter": ("https://openrouter.ai/api/v1/rerank", "cohere/rerank-v3.5", "OPENROUTER_API_KEY"),
+}
+INSTRUCTION = "Given a search query, retrieve relevant passages that answer the query."
+CHAT_START = (
+    "<|im_start|>system\nJudge whether the Document meets the requirements based on the Query and the Instruct provided. "
+    'Note that the answer can only be "yes" or "no".<|im_end|>\n<|im_start|>user\n'
+)
+CHAT_END = "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
+CLASSIFIER_ENDING = "-seq-cls"
+
+
 @dataclasses.dataclass(frozen=True)
 class TransformersReranker:
-    """A sequence-classification model run in the worker, loaded at its first use."""
+    """A local model run in the worker, loaded at its first use.
 
-    model: str
+    A model whose name ends with ``-seq-cls`` is a classifier: it reads the chat form of the prompt and
+    the sigmoid of its one logit is the score. Any other is a language model that reads the plain form;
+    the score is how likely its next token is ``yes`` rather than ``no``.
+    """
+
+    model: str = LOCAL_RERANKER
     device: str = "auto"
     max_tokens: int = 8192
-    instruction: str = "Given a search query, retrieve relevant passages that answer the query"
+    instruction: str = INSTRUCTION
+
+    @property
+    def is_classifier(self) -> bool:
+        return self.model.endswith(CLASSIFIER_ENDING)
+
+    def prompt(self, query: str, document: str) -> str:
+        plain = f"<Instruct>: {self.instruction}\n<Query>: {query}\n<Document>: {document}"
+        return CHAT_START + plain + CHAT_END if self.is_classifier else plain
+
+    def _loaded(self) -> dict:
+        if self not in _models:
+            try:
+                import torch
+                import transformers
+            except ImportError as e:
+                raise ProviderError("a local reranker needs torch and transformers") from e
+            mps = getattr(torch.backends, "mps", None)
+            device = self.device if self.device != "auto" else "mps" if mps is not None and mps.is_available() else "cpu"
+            kind = transformers.AutoModelForSequenceClassification if self.is_classifier else transformers.AutoModelForCausalLM
+            tokenizer = transformers.AutoTokenizer.from_pretrained(self.model, padding_side="left")  # the last token must be a real one
+            answers = None
+            if not self.is_classifier:
+                answers = [tokenizer.convert_tokens_to_ids(t) for t in ("no", "yes")]
+                if None in answers:
+                    raise ProviderError(f"the vocabulary of {self.model} has no yes or no")
+            _models[self] = {"torch": torch, "tokenizer": tokenizer, "model": kind.from_pretrained(self.model).eval().to(device), "device": device, "answers": answers}
+        return _models[self]
 
     def score(self, query: str, documents: Sequence[str]) -> list[float]:
-        try:
-            import torch
-            from transformers import AutoModelForSequenceClassification, AutoTokenizer
-        except ImportError as e:
-            raise ProviderError("a local reranker needs torch and transformers") from e
-        cache = _models.setdefault(self, {})
-        if not cache:
-            device = self.device if self.device != "auto" else "mps" if torch.backends.mps.is_available() else "cpu"
-            cache |= {"tokenizer": AutoTokenizer.from_pretrained(self.model), "model": AutoModelForSequenceClassification.from_pretrained(self.model).to(device).eval(), "device": device}
-        prompts = [f"<Instruct>: {self.instruction}\n<Query>: {query}\n<Document>: {d}" for d in documents]
-        batch = cache["tokenizer"](prompts, padding=True, truncation=True, max_length=self.max_tokens, return_tensors="pt").to(cache["device"])
-        with torch.no_grad():
-            logits = cache["model"](**batch).logits
-        return (torch.sigmoid(logits[:, 0]) if logits.shape[1] == 1 else torch.softmax(logits, 1)[:, 1]).tolist()
+        if not documents:
+            return []
+        own = self._loaded()
+        batch = own["tokenizer"]([self.prompt(query, d) for d in documents], padding=True, truncation=True, max_length=self.max_tokens, return_tensors="pt")
+        with own["torch"].no_grad():
+            logits = own["model"](**{k: v.to(own["device"]) for k, v in batch.items()}).logits
+        found = np.asarray(logits.detach().cpu().tolist(), np.float64)
+        if self.is_classifier:
+            return (1 / (1 + np.exp(-found.reshape(len(documents), -1)[:, 0]))).tolist()
+        no, yes = (found[:, -1, i] for i in own["answers"])
+        return (1 / (1 + np.exp(no - yes))).tolist()
 
 
 _models: dict = {}
 
 
+@dataclasses.dataclass(frozen=True)
+class SubprocessReranker:
+    """A reranker in a process of its own, so that its memory is given back after each query: JSON in, JSON out."""
+
+    model: str = LOCAL_RERANKER
+    device: str = "auto"
+    max_tokens: int = 8192
+    instruction: str = INSTRUCTION
+    command: tuple[str, ...] = (sys.executable, "-m", "vellumdex.functions.rerank_worker")
+
+    def score(self, query: str, documents: Sequence[str]) -> list[float]:
+        if not documents:
+            return []
+        payload = {"model": self.model, "device": self.device, "max_length": self.max_tokens, "instruction": self.instruction, "query": query, "documents": list(documents)}
+        path = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), *filter(None, [os.environ.get("PYTHONPATH")])])
+        done = subprocess.run(self.command, input=json.dumps(payload), text=True, capture_output=True, check=False, env=os.environ | {"PYTHONPATH": path})
+        if done.returncode:
+            raise ProviderError(f"the reranker's process failed: {done.stderr.strip() or done.stdout.strip() or done.returncode}")
+        try:
+            scores = json.loads(done.stdout)["scores"]
+        except (json.JSONDecodeError, KeyError, TypeError) as e:
+            raise ProviderError(f"the reranker's process gave no scores: {done.stdout[:500]!r}") from e
+        return [float(x) for x in scores]
+
+
 @dataclasses.dataclass(frozen=True)
 class Runtime:
     """A provider with the names under which its vectors are cached."""
@@ -223,28 +294,44 @@ def resolve_embedder(provider: str = "hash", model: str | None = None, api_key:
     raise ProviderError(f"unknown embedding provider {provider}")
 
 
-def resolve_reranker(provider: str = "local", model: str | None = None, device: str = "auto", api_key: str | None = None) -> Reranker:
-    """``local`` (model in the worker), ``cohere`` or ``openrouter`` (endpoints with a key)."""
+def resolve_reranker(provider: str = "local", model: str | None = None, device: str = "auto", api_key: str | None = None, instruction: str = INSTRUCTION, own_process: bool = False) -> Reranker:
+    """``local`` (model in the worker, or in a process of its own), ``cohere`` or ``openrouter`` (endpoints with a key)."""
     if provider == "local":
-        return TransformersReranker(model or "Qwen/Qwen3-Reranker-0.6B", device)
-    places = {"cohere": ("https://api.cohere.com/v2/rerank", "rerank-v3.5", "COHERE_API_KEY"), "openrouter": ("https://openrouter.ai/api/v1/rerank", "cohere/rerank-v3.5", "OPENROUTER_API_KEY")}
-    if provider not in places:
+        kind = SubprocessReranker if own_process else TransformersReranker
+        return kind(model or LOCAL_RERANKER, device, instruction=instruction)
+    if provider not in REMOTE_RERANKERS:
         raise ProviderError(f"unknown reranker provider {provider}")
-    url, default, variable = places[provider]
+    url, default, variable = REMOTE_RERANKERS[provider]
     key = api_key or os.environ.get(variable)
     if not key:
         raise ProviderError(f"the {provider} reranker needs {variable}")
     return RemoteReranker(model or default, key, url)
 
 
+def sliced(texts: Sequence[str], limit: int = 4 << 20) -> Iterator[list[str]]:
+    """The texts in order, in parts of about ``limit`` characters; a single longer text is a part of its own."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > limit:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def embedding_of(embedder: Embedder, text: Column, input_type: str = "document") -> Column:
-    """The vector of each text, as an Arrow UDF that calls the provider once per Arrow batch."""
+    """The vector of each text, as an Arrow UDF that calls the provider once for each slice of bounded size."""
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = ["" if t is None else t for t in batch]
-            yield pd.Series([np.asarray(v, np.float32) for v in embedder.embed_texts(texts, input_type)])
+            found: list = []
+            for part in sliced(texts):
+                found += [np.asarray(v, np.float32) for v in embedder.embed_texts(part, input_type)]
+            yield pd.Series(found, dtype=object)
 
     return embed(text)
 
@@ -264,9 +351,3 @@ def rerank_scores(rows: DataFrame, reranker: Reranker, query: str = "query", tex
         return group.append_column("rerank_score", pa.array([float(x) for x in found], pa.float64()))
 
     return rows.groupBy(query_id).applyInArrow(score, schema)
-
-
-def in_subprocess(score: Callable[[str, Sequence[str]], list[float]], payload: str) -> str:
-    """The worker protocol for a provider in a process of its own: JSON in, JSON out."""
-    data = json.loads(payload)
-    return json.dumps({"scores": score(data["query"], data["documents"])})

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ TITLE_PATTERN = r"^#\s+(.+?)\s*$"
 SMALL_DOCUMENT, LARGE_DOCUMENT = 1200, 3500
 WINDOW, OVERLAP = 800, 120
 
+BEFORE_STOP, BLANK_RUN, PARAGRAPHS = r"\s+([,.;:!?)}\]])", r"[ \t]{2,}", r"\n\s*\n"
+
 _TAG, _LINK, _WIKI = re.compile(TAG_PATTERN), re.compile(LINK_PATTERN), re.compile(WIKI_LINK_PATTERN)
 _CODE, _TITLE = re.compile(CODE_BLOCK_PATTERN, re.S), re.compile(TITLE_PATTERN, re.M)
-_BEFORE_STOP, _BLANK_RUN, _PARAGRAPHS = re.compile(r"\s+([,.;:!?)}\]])"), re.compile(r"[ \t]{2,}"), re.compile(r"\n\s*\n")
+_BEFORE_STOP, _BLANK_RUN, _PARAGRAPHS = re.compile(BEFORE_STOP), re.compile(BLANK_RUN), re.compile(PARAGRAPHS)
 
 PARSED_SCHEMA = (
     "doc_id string, collection_id string, collection_name string, title string, source_path string, relative_path string, tags array<string>, out_links array<string>, "
@@ -32,22 +36,86 @@ PARSED_SCHEMA = (
 )
 
 
+def mask_pattern(mask: str) -> str:
+    """A regular expression for relative paths that a file mask takes.
+
+    ``*`` and ``?`` stay inside a name, ``**`` as a whole part stands for any folders, also none.
+    """
+    parts = [p for p in mask.split("/") if p not in ("", ".")]
+    out = ""
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        if part == "**":
+            out += "(?:[^/]+/)*" + ("[^/]*" if last else "")
+            continue
+        for token in re.findall(r"\[!?\]?[^\]]*\]|.", part):
+            if token == "*":
+                out += "[^/]*"
+            elif token == "?":
+                out += "[^/]"
+            elif len(token) > 1:
+                out += "[" + token[1:-1].replace("\\", "\\\\").replace("!", "^", token[1] == "!") + "]"
+            else:
+                out += re.escape(token)
+        out += "" if last else "/"
+    return f"^{out}$"
+
+
+FILE_COLUMNS = "path string, relative_path string, updated_at string"
+
+
+def list_files(spark: SparkSession, root: str, mask: str) -> DataFrame:
+    """``path, relative_path, updated_at`` of the files below ``root`` that ``mask`` takes, whatever their names begin with, except a dot.
+
+    Spark's own listing leaves out names with a leading underscore; this one asks the file system in
+    tasks, one for each folder directly below the root.
+    """
+    pattern = re.compile(mask_pattern(mask))
+
+    def entries(folder: str, deep: bool) -> list[fs.FileInfo]:
+        where, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + quote(folder))
+        return where.get_file_info(fs.FileSelector(path, recursive=deep, allow_not_found=False))
+
+    def shown(found: list[fs.FileInfo], base: str) -> pa.RecordBatch:
+        rows = []
+        for f in found:
+            relative = f.path[len(base) :].lstrip("/")
+            if f.type == fs.FileType.File and pattern.match(relative) and not any(part.startswith(".") for part in relative.split("/")):
+                rows.append({"path": f.path, "relative_path": relative, "updated_at": f.mtime.astimezone().strftime("%Y-%m-%dT%H:%M:%S") if f.mtime else None})
+        return pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.string()) for c in ("path", "relative_path", "updated_at")]))
+
+    def top(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.path for f in entries(root, False) if f.type == fs.FileType.Directory and not f.base_name.startswith(".")]
+        yield pa.record_batch([pa.array([None, *names], pa.string())], ["folder"])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else "file://" + quote(root))
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                yield shown(entries(root, False) if folder is None else where.get_file_info(fs.FileSelector(folder, recursive=True)), base)
+
+    folders = spark.range(1, numPartitions=1).mapInArrow(top, "folder string")
+    return (folders.repartition(spark.sparkContext.defaultParallelism) if "/" in mask else folders.where("folder is null")).mapInArrow(below, FILE_COLUMNS)
+
+
 def scan_markdown(spark: SparkSession, root: str, mask: str = "*.md") -> DataFrame:
     """``source_path, relative_path, updated_at, text`` of the Markdown files under ``root``.
 
-    ``*.md`` takes the folder's own files, ``**/*.md`` those below it too. Files and folders
-    whose name begins with a dot are left out. Bytes must be UTF-8; line ends become
-    ``\\n``. Listing and reading are Spark's, so that any file system will do.
+    ``*.md`` takes the folder's own files, ``**/*.md`` those below it too, ``docs/*.md`` those of one folder.
+    Files and folders whose name begins with a dot are left out. Bytes must be UTF-8; line
+    ends become ``\\n``. Listing and reading are done by tasks, on any file system Arrow knows.
     """
-    deep = "/" in mask
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", mask.rpartition("/")[2]).option("recursiveFileLookup", str(deep).lower())
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    base = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
-    rows = reader.load(root).select(path.alias("source_path"), "modificationTime", "content")
-    shown = rows.withColumn("relative_path", F.when(F.col("source_path").startswith(base), F.expr(f"substring(source_path, {len(base) + 1})")).otherwise(F.regexp_extract("source_path", r"([^/]*)$", 1)))
-    kept = shown.where(~F.col("relative_path").rlike(r"(^|/)\."))
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
-    return kept.select("source_path", "relative_path", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), text.alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else "file://" + quote(root))
+        for batch in batches:
+            for row in batch.to_pylist():
+                with where.open_input_stream(row["path"]) as stream:
+                    text = stream.read().decode("utf-8")
+                yield pa.record_batch([pa.array([v], pa.string()) for v in (row["path"], row["relative_path"], row["updated_at"], text.replace("\r\n", "\n").replace("\r", "\n"))], ["source_path", "relative_path", "updated_at", "text"])
+
+    files = list_files(spark, root, mask)
+    return files.repartition(2 * spark.sparkContext.defaultParallelism, "path").mapInArrow(read, "source_path string, relative_path string, updated_at string, text string")
 
 
 def title_of(text: Column, default: Column) -> Column:
