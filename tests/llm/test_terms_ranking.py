@@ -46,10 +46,59 @@ def test_counts_match_brute_force(spark, tables):
 
 def test_heavy_terms_change_nothing(spark, tables):
     rows, chunks, terms, records = tables
-    postings = X.clean_postings(terms, records)
-    assert "the" in X.heavy_terms(terms.where("term is not null"), 0.05)
-    few = {tuple(r) for r in X.term_frequencies(postings, []).collect()}
-    assert {tuple(r) for r in X.term_frequencies(postings, ["the", "w1", "absent"]).collect()} == few
+    found = X.survey(terms, records, part=0.05)
+    assert "the" in found.heavy and X.heavy_terms(terms, 0.05) == found.heavy and found.n_gone == 6
+    packs = X.packed_postings(terms, found)
+    few = {tuple(r) for r in X.term_frequencies(packs, []).collect()}
+    assert {tuple(r) for r in X.term_frequencies(packs, ["the", "w1", "absent"]).collect()} == few
+
+
+def test_hot_records_in_parts_and_rows_in_any_order(spark, tables):
+    rows, chunks, terms, records = tables
+    best, _ = brute(rows, chunks)
+    found = X.survey(terms, records)
+    mixed = spark.createDataFrame([rows[i] for i in np.random.default_rng(3).permutation(len(rows))], SCHEMA).repartition(7)
+    for hot in ([], [1, 3], list(range(25))):
+        frame = X.packed_postings(mixed, found._replace(hot=hot))
+        rows_of = [tuple(r) for r in X.unpacked(frame).collect()]
+        assert {(r, t): tf for r, t, tf in rows_of} == best and len(rows_of) == len(best)
+        packs = frame.collect()
+        assert len({(p["record"], p["part"]) for p in packs}) == len(packs) and sum(p["length"] for p in packs) == sum(best.values())
+    assert len([p for p in packs if p["record"] == 1]) > 1
+    small = [b for n in (1, 2, 5) for b in X._merged(iter(_batches(sorted(packs, key=lambda p: (p["record"], p["part"])), n)))]
+    assert sum(len(t.split(X.SEPARATOR)) for b in small for t in b.column(2).to_pylist()) == 3 * len(best)
+
+
+def test_separators_in_terms(spark):
+    odd = ["a\x1fb", "a\x1bS", "a\x1bEb", "\x1b", "a\x1b\x1fb", "a,b", "a b", "\x1fa"]
+    rows = [(i, t, i + 1) for i in range(2) for t in odd] + [(5, "a", 7)]
+    frame = spark.createDataFrame(rows, "chunk_rowid bigint, term string, tf int")
+    want = {(i, t.strip().lower(), n) for i, t, n in rows}
+    assert {tuple(r) for r in X.clean_postings(frame).collect()} == want
+    known = spark.range(6)
+    assert {r["term"] for r in X.term_counts(frame, known).collect()} == {t for _, t, _ in want} == {r["term"] for r in X.distinctive_terms(frame, known).collect()}
+
+
+def _batches(packs, n):
+    import pyarrow as pa
+
+    schema = pa.schema([("record", pa.int64()), ("part", pa.int32()), ("terms", pa.string()), ("tfs", pa.string())])
+    return [pa.RecordBatch.from_pylist([{k: p[k] for k in schema.names} for p in packs[i : i + n]], schema) for i in range(0, len(packs), n)]
+
+
+def test_whole_lengths_of_hot_records(spark, tables, monkeypatch):
+    *_, terms, records = tables
+    plain = {(r["record"], r["term"]): r["z"] for r in X.distinctive_terms(terms, records).collect()}
+    usual = X.survey
+    monkeypatch.setattr(X, "survey", lambda *a, **k: usual(*a, **k)._replace(hot=[1, 2, 3], heavy=["the"]))
+    hot = {(r["record"], r["term"]): r["z"] for r in X.distinctive_terms(terms, records).collect()}
+    assert hot.keys() == plain.keys() and all(abs(hot[k] - plain[k]) < 1e-9 for k in plain)
+
+
+def test_text_records(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("a", "X", 3), ("c", "y", 1)], "chunk_rowid string, term string, tf int")
+    got = {tuple(r) for r in X.term_counts(rows, spark.createDataFrame([("a",), ("b",)], "id string")).collect()}
+    assert got == {("x", 2, 5, "rare")}
 
 
 def test_scores_match_brute_force(spark, tables):
@@ -133,7 +182,8 @@ def test_ranks_and_weights(spark, bucket):
                 matrix.setdefault((q, x[1]), []).append(rank)
     m = np.array(list(matrix.values()))
     weights = R.principal_weights(R.rank_transform(single, "query_id", "chunk_rowid", R.SEARCH_SIGNALS, bucket), [f"r_{s}" for s in R.SEARCH_SIGNALS])
-    v = np.abs(np.linalg.eigh(np.corrcoef(m.T))[1][:, -1]) / m.std(axis=0)
+    v = np.linalg.eigh(np.corrcoef(m.T))[1][:, -1]
+    v = np.clip(v * np.sign(v.sum()), 0, None) / m.std(axis=0)
     assert np.allclose(list(weights.values()), v / v.sum())
 
 
@@ -151,3 +201,18 @@ def test_fused_edge_cases(spark):
         assert ranks == {(1, 5): 1, (1, 7): 2, (1, 6): 3, (2, 8): 1, (None, 9): 1, (3, 10): 1, (3, 11): 1, (4, 12): 1, (4, 13): 2}
     empty = R.fuse_rankings(spark.createDataFrame([], RESULT))
     assert empty.count() == 0 and R.first_of_group(empty).count() == 0
+
+
+def test_an_opposing_score_gets_no_weight(spark):
+    r = np.random.default_rng(4)
+    base = r.random(300)
+    rows = [(i, float(b), float(b + 0.1 * e), float(b + 0.2 * e), float(-b + 0.1 * e)) for i, (b, e) in enumerate(zip(base, r.random(300)))]
+    frame = spark.createDataFrame(rows, "i int, a double, b double, c double, d double")
+    weights = R.principal_weights(frame, ["a", "b", "c", "d"])
+    assert weights["d"] == 0.0 and min(weights["a"], weights["b"], weights["c"]) > 0 and abs(sum(weights.values()) - 1) < 1e-9
+
+
+def test_items_may_be_text(spark):
+    rows = [("q", "x", "1", 0.9, 0.9, 1, 1), ("q", "a", "1", 0.9, 0.9, 1, 1), ("q", None, "1", 0.9, 0.9, 1, 1), ("q", "z", "1", 0.1, None, 2, 2)]
+    fused = R.fuse_rankings(spark.createDataFrame(rows, RESULT.replace("query_id bigint, chunk_rowid bigint", "query_id string, chunk_rowid string")))
+    assert [tuple(r) for r in R.first_of_group(fused).collect()] == [("q", "a")]
