@@ -266,17 +266,61 @@ def test_reranker_in_its_own_process():
 def test_stream_applies_each_batch_once(spark, notes, tmp_path):
     from vellumdex.streaming import ingest
 
-    store = SnapshotStore(spark, str(tmp_path / "stream"))
-    run = lambda: ingest.start(ingest.file_stream(spark, str(notes)), store, str(tmp_path / "cp"), "c1", "notes").awaitTermination()
-    run()
-    assert {r["relative_path"] for r in store.read("documents").collect()} >= {"alpha.md", "beta.md"}
-    before = store.read("chunks").count()
-    (notes / "new.md").write_text("gamma delta")
-    run()
-    assert store.read("chunks").count() == before + 1
-    batch = spark.createDataFrame([("p", "new.md", "2026", "other")], "source_path string, relative_path string, updated_at string, text string")
-    ingest.apply_batch(store, "c1", "notes")(batch, 0)  # a replayed batch
-    assert store.read("chunks").count() == before + 1
+    engine = engine_of(spark, tmp_path)
+    engine.ingest(str(notes))
+    own = engine.registry.collections[0]
+    run = lambda at: ingest.start(ingest.file_stream(spark, str(notes)), engine, str(tmp_path / at), own.collection_id, own.name).awaitTermination()
+    found = lambda word: [r["relative_path"] for r in engine.search(word, "fulltext").collect()]
+    run("cp")
+    assert {r["relative_path"] for r in engine.store.read("documents").collect()} == {"alpha.md", "beta.md"}
+    (notes / "new file.md").write_text("gamma delta")
+    (notes / "alpha.md").write_text("# Topic\nalpha cherry")
+    run("cp")
+    assert found("gamma") == ["new file.md"] and found("cherry") == []
+    run("another")
+    assert found("gamma") == ["new file.md"] and found("cherry") == ["alpha.md"] and found("banana") == []
+    assert engine.search("gamma", "vector").count() == 3
+    before = engine.store.read("chunks").count()
+    assert before == 3 == engine.store.corpus().first()["doc_count"]
+    batch = spark.createDataFrame([("p", "new file.md", "2026", "other")], "source_path string, relative_path string, updated_at string, text string")
+    ingest.apply_batch(engine, own.collection_id, own.name, str(tmp_path / "cp"))(batch, 0)  # a replayed batch
+    assert engine.store.read("chunks").count() == before and found("other") == []
+
+
+def test_segments_give_the_same_as_a_new_index(spark, notes, tmp_path):
+    from vellumdex.operators import lexical
+
+    engine = engine_of(spark, tmp_path)
+    engine.ingest(str(notes))
+    ids = {r["id"] for r in engine.store.read("chunks").collect()}
+    for i in range(3):
+        (notes / "beta.md").write_text(f"# Topic\nbeta carrot number{i}")
+        (notes / f"more{i}.md").write_text(f"word{i} carrot")
+        if i:
+            (notes / f"more{i - 1}.md").unlink()
+        engine.ingest(str(notes))
+        fresh = {r["id"] for r in engine.store.read("chunks").collect()} - ids
+        assert len(fresh) >= 2
+        ids |= fresh  # no id is used twice
+    read = lambda name: {tuple(r) for r in engine.store.read(name).select(*[c for c in engine.store.read(name).columns if c not in ("tags", "out_links")]).collect()}
+
+    def check():
+        chunks, postings = engine.store.read("chunks"), engine.store.read("postings")
+        assert {r["relative_path"] for r in chunks.collect()} == {"alpha.md", "beta.md", "more2.md"}
+        assert {tuple(r) for r in lexical.postings_of(chunks).collect()} == {tuple(r) for r in postings.select("id", "term", "tf").collect()}
+        assert {tuple(r) for r in lexical.document_frequencies(postings).collect()} == read("term_stats")
+        assert tuple(lexical.corpus_scalars(chunks).first()) == tuple(engine.store.corpus().first())
+
+    check()
+    assert len(engine.store.manifest()["tables"]["chunks"]) == 4
+    before = read("chunks")
+    assert set(engine.store.compact(1)) == {"documents", "chunks", "postings", "term_stats", "corpus", "embedding_cache"}
+    engine.store.clean()
+    assert read("chunks") == before and len(engine.store.manifest()["tables"]["chunks"]) == 1
+    check()
+    again = engine.ingest(str(notes), rebuild=True)
+    assert (again.documents, again.chunks, again.new_embedding_hashes, again.reused_embedding_hashes) == (3, 3, 0, 3)
+    check()
 
 
 def test_cli(capsys, tmp_path):

@@ -16,10 +16,11 @@ from vellumdex.operators.context import context_texts
 from vellumdex.session import materialize
 from vellumdex.sources import markdown
 from vellumdex.sources.registry import Collection, Registry, RegistryError, tidy_path
-from vellumdex.sources.snapshots import SnapshotStore
+from vellumdex.sources.snapshots import SCHEMAS, SnapshotStore
 
 MODES = ("hybrid", "fulltext", "vector")
 LAST_INGEST = "collection_last_ingested_at:"
+LAST_ID = "last_chunk_id"
 
 
 @dataclasses.dataclass
@@ -74,58 +75,92 @@ class Engine:
         """Brings the index up to date with a folder: changed documents anew, deleted ones out.
 
         Only changed documents are chunked into the index and only content without a cached
-        vector is embedded. Everything is staged first and becomes current in one step.
+        vector is embedded; what did not change is not written again. Everything is staged first and
+        becomes current in one step.
         """
-        if self.runtime is None:
-            raise ProfileError("ingest needs an embedding provider")
         chosen = self._target(source, collection)
-        manifest = {"tables": {}, "profile": None, "metadata": {}} if rebuild else self.store.manifest()
-        old = {name: self.store.read(name, manifest) for name in ("documents", "chunks", "postings")}
-        cache = self.store.read("embedding_cache")
         files = markdown.scan_markdown(self.spark, tidy_path(source, True), chosen.mask)
-        files = files.withColumn("collection_id", F.lit(chosen.collection_id)).withColumn("collection_name", F.lit(chosen.name))
-        contexts = context_texts(files.withColumn("doc_id", F.col("relative_path")), self.registry.contexts_frame(self.spark))
-        parsed = materialize(markdown.parse_markdown(files.join(contexts.withColumnRenamed("doc_id", "relative_path"), "relative_path")))
+        parsed = self.parse(files, chosen.collection_id, chosen.name)
         if parsed.isEmpty():
             raise FileNotFoundError(f"no files match {chosen.mask} in {source}")
-        mine = old["documents"].where(F.col("collection_id") == chosen.collection_id)
-        changes = materialize(document_changes(parsed, mine).where("change != 'same'"))
-        fresh = parsed.join(changes.where("change != 'deleted'"), "doc_id", "left_semi")
-        documents = without_documents(old["documents"], changes).unionByName(fresh.select(old["documents"].columns))
-        new_chunks = materialize(markdown.chunk_rows(fresh))
-        kept = without_documents(old["chunks"], changes)
-        base = kept.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = new_chunks.withColumn("id", F.lit(base) + 1 + F.monotonically_increasing_id())
-        numbered = materialize(numbered.select(old["chunks"].columns))
-        chunks = kept.unionByName(numbered)
-        gone = old["chunks"].join(kept.select("id"), "id", "left_anti").select("id")
-        new_postings = lexical.postings_of(numbered).join(numbered.select("id", "collection_id"), "id")
-        postings = old["postings"].join(gone, "id", "left_anti").unionByName(new_postings.select(old["postings"].columns))
-        tables = {"documents": self.store.stage("documents", documents), "chunks": self.store.stage("chunks", chunks, ["doc_id"]), "postings": self.store.stage("postings", postings, ["term"])}
-        staged = {"tables": tables}
-        all_postings, all_chunks = self.store.read("postings", staged), self.store.read("chunks", staged)
-        tables["term_stats"] = self.store.stage("term_stats", lexical.document_frequencies(all_postings), ["term"])
-        tables["corpus"] = self.store.stage("corpus", lexical.corpus_scalars(all_chunks))
-        own = cache.where(F.col("model") == self.runtime.cache_key)
-        wanted = numbered.select("embedding_hash").distinct().count()
-        lacking = vector.missing_vectors(all_chunks, own)
-        made = materialize(lacking.select(F.lit(self.runtime.cache_key).alias("model"), "embedding_hash", embedding_of(self.runtime.embedder, F.col("text")).alias("embedding")).withColumn("dim", F.size("embedding")))
-        new_hashes = made.join(numbered.select("embedding_hash"), "embedding_hash", "left_semi").count()
-        tables["embedding_cache"] = self.store.stage("embedding_cache", cache.unionByName(made.select(cache.columns)), ["model"])
-        vectors = vector.checked_vectors(all_chunks, self.store.read("embedding_cache", staged), self.runtime.cache_key)
-        dim = vector.dimension_of(vectors)
-        n_chunks = all_chunks.count()
-        if vectors.count() != n_chunks:
-            raise vector.VectorDimensionError("some chunks have no vector")
-        profile = {"provider": self.runtime.provider, "model": self.runtime.model, "cache_key": self.runtime.cache_key, "dim": dim}
+        stored = self.spark.createDataFrame([], SCHEMAS["documents"]) if rebuild else self.store.read("documents")
+        changes = document_changes(parsed, stored.where(F.col("collection_id") == chosen.collection_id))
         stamp = datetime.now().astimezone().isoformat(timespec="seconds")
-        self.store.publish(tables, profile, {LAST_INGEST + chosen.collection_id: stamp})
-        counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+        done = self.update(parsed, changes, {LAST_INGEST + chosen.collection_id: stamp}, rebuild)
         return IngestReport(
-            self.store.read("documents").count(), n_chunks, dim or 0, self.runtime.provider, self.runtime.model, chosen.collection_id, chosen.name, str(source),
-            counts.get("new", 0) + counts.get("changed", 0), counts.get("deleted", 0), new_hashes, wanted - new_hashes,
+            self.store.read("documents").count(), self.store.corpus().first()["doc_count"], done["dim"], self.runtime.provider, self.runtime.model, chosen.collection_id, chosen.name, str(source),
+            done["new"] + done["changed"], done["deleted"], done["made"], done["reused"],
         )
 
+    def parse(self, files: DataFrame, collection_id: str, name: str) -> DataFrame:
+        """Parsed documents of one collection, each with the contexts that apply to it."""
+        named = files.withColumn("collection_id", F.lit(collection_id)).withColumn("collection_name", F.lit(name))
+        contexts = context_texts(named.withColumn("doc_id", F.col("relative_path")), self.registry.contexts_frame(self.spark))
+        return materialize(markdown.parse_markdown(named.join(contexts.withColumnRenamed("doc_id", "relative_path"), "relative_path")))
+
+    def update(self, parsed: DataFrame, changes: DataFrame, metadata: dict, rebuild: bool = False) -> dict:
+        """Applies the changes of some documents to all tables of the index, as one new segment each.
+
+        ``changes`` has ``doc_id, change``. What goes is taken out by key, its part of the statistics is
+        made again from the chunks that go and subtracted. Ids of chunks are never used twice.
+        """
+        if self.runtime is None:
+            raise ProfileError("ingest needs an embedding provider")
+        manifest = {"tables": {}, "profile": None, "metadata": {}} if rebuild else self.store.manifest()
+        last_id = int(self.store.manifest()["metadata"].get(LAST_ID, 0))
+        changes = materialize(changes.where("change != 'same'"))
+        counts = {"new": 0, "changed": 0, "deleted": 0} | {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+        gone = changes.where("change != 'new'").select("doc_id")
+        fresh = parsed.join(changes.where("change != 'deleted'"), "doc_id", "left_semi")
+        old_chunks = materialize(self.store.read("chunks", manifest).join(gone, "doc_id", "left_semi").select("id", "search_text", "token_count"))
+        rows = markdown.chunk_rows(fresh).withColumn("id", F.lit(last_id) + 1 + F.monotonically_increasing_id())
+        numbered = materialize(rows.to(self.spark.createDataFrame([], SCHEMAS["chunks"]).schema))
+        postings = lexical.postings_of(numbered.select("id", "search_text", "collection_id")).join(numbered.select("id", "collection_id"), "id")
+        stats = lexical.document_frequencies(postings).unionByName(lexical.document_frequencies(lexical.postings_of(old_chunks)).withColumn("df", -F.col("df")))
+        sums = numbered.select("token_count", F.lit(1).alias("sign")).unionByName(old_chunks.select("token_count", F.lit(-1).alias("sign")))
+        segments = {
+            "documents": self.store.stage("documents", fresh, None, gone),
+            "chunks": self.store.stage("chunks", numbered, ["doc_id"], gone),
+            "postings": self.store.stage("postings", postings, ["term"], old_chunks.select("id")),
+            "term_stats": self.store.stage("term_stats", stats.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0"), ["term"]),
+            "corpus": self.store.stage("corpus", sums.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("doc_count"), F.coalesce(F.sum(F.col("sign") * F.coalesce("token_count", F.lit(0))), F.lit(0)).alias("lengths"))),
+        }
+        segments["embedding_cache"], dim, made, reused = self._embedded(numbered, manifest)
+        profile = {"provider": self.runtime.provider, "model": self.runtime.model, "cache_key": self.runtime.cache_key, "dim": dim}
+        top = numbered.agg(F.max("id")).first()[0] or last_id
+        if rebuild:  # vectors by content stay; everything else begins anew
+            kept = self.store.manifest()["tables"].get("embedding_cache", [])
+            self.store.publish(segments, profile, metadata | {LAST_ID: str(top)}, replace=True)
+            if kept:
+                self.store.publish({"embedding_cache": self.store.stage("embedding_cache", self.store.read("embedding_cache", {"tables": {"embedding_cache": [*kept, segments["embedding_cache"]]}}), ["model"])}, replace=True)
+        else:
+            self.store.publish(segments, profile, metadata | {LAST_ID: str(top)})
+            self.store.compact()
+        return counts | {"dim": dim or 0, "made": made, "reused": reused}
+
+    def _embedded(self, numbered: DataFrame, manifest: dict) -> tuple[dict, int | None, int, int]:
+        """The segment of vectors that the cache lacks, the index's dimension, and how many contents were embedded and reused.
+
+        New chunks need vectors; all chunks do if the index was made with other embedding settings.
+        """
+        key = self.runtime.cache_key
+        cache = self.store.read("embedding_cache").where(F.col("model") == key)
+        profile = manifest["profile"]
+        same = profile is not None and profile["cache_key"] == key
+        wanted = numbered if same else self.store.read("chunks", manifest).unionByName(numbered)
+        lacking = vector.missing_vectors(wanted, cache)
+        made = materialize(lacking.select(F.lit(key).alias("model"), "embedding_hash", embedding_of(self.runtime.embedder, F.col("text")).alias("embedding")).withColumn("dim", F.size("embedding")))
+        segment = self.store.stage("embedding_cache", made, ["model"])
+        found = vector.checked_vectors(wanted, cache.unionByName(made.select(cache.columns)))
+        if found.count() != wanted.count():
+            raise vector.VectorDimensionError("some chunks have no vector")
+        dim = vector.dimension_of(found)
+        if same and dim is not None and profile["dim"] and dim != profile["dim"]:
+            raise vector.VectorDimensionError(f"vectors of {dim} dimensions in an index of {profile['dim']}")
+        hashes = numbered.select("embedding_hash").distinct().count()
+        new = made.join(numbered.select("embedding_hash"), "embedding_hash", "left_semi").count()
+        return segment, dim if dim is not None else (profile or {}).get("dim"), new, hashes - new
+
     # ---- search
 
     def check_profile(self) -> None:
@@ -171,7 +206,7 @@ class Engine:
                 by_vector = by_vector.join(chunks.where(F.col("collection_id").isin(allowed)).select("id"), "id", "left_semi")
                 by_vector = lexical.top_k(by_vector.drop("rank"), vector_top_k)
         if mode != "vector":
-            scores = lexical.bm25_scores(lexical.query_terms(asked), self.store.read("postings", manifest).select("id", "term", "tf"), chunks, self.store.read("term_stats", manifest), self.store.read("corpus", manifest), allowed)
+            scores = lexical.bm25_scores(lexical.query_terms(asked), self.store.read("postings", manifest).select("id", "term", "tf"), chunks, self.store.read("term_stats", manifest), self.store.corpus(manifest), allowed)
             by_term = lexical.top_k(scores, bm25_top_k)
         if mode == "hybrid":
             fused = fusion.reciprocal_rank_fusion(by_vector, by_term)

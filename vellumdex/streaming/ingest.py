@@ -1,8 +1,9 @@
 """Ingesting a folder as a stream of files.
 
-A file stream brings new and rewritten files; deletions are not visible to it, for which the
-batch ingest remains the complete form. Each micro-batch is applied once: its number is
-kept with the table's manifest, and a batch that is replayed after a failure is skipped.
+A file stream brings each file once: deletions and later rewrites are not visible to it, nor are names with a
+leading underscore, for which the batch ingest, or a stream with a new checkpoint, remains the complete form. Each micro-batch changes all tables of the
+index in one step together with the batch's number, so that a batch that is replayed after a failure
+is skipped and a search after a batch finds its files.
 """
 
 from __future__ import annotations
@@ -13,48 +14,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vellumdex.plans.engine import document_changes, without_documents
+from vellumdex.plans.engine import Engine, document_changes
 from vellumdex.sources import markdown
-from vellumdex.sources.snapshots import SnapshotStore
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def file_stream(spark: SparkSession, root: str, mask: str = "*.md", per_batch: int = 1000) -> DataFrame:
-    """New files of a folder: ``source_path, relative_path, updated_at, text``."""
-    rows = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", mask.rpartition("/")[2]).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    base = root.removeprefix("file://").rstrip("/") + "/"
+    """New files of a folder that the mask takes: ``source_path, relative_path, updated_at, text``."""
+    deep = "/" in mask
+    rows = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", str(deep).lower()).load(root)
+    path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    base = "/" + root.removeprefix("file:").strip("/") + "/" if "://" not in root or root.startswith("file:") else root.rstrip("/") + "/"
+    relative = F.replace(path, F.lit(base), F.lit(""))
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
-    return rows.select(path.alias("source_path"), F.replace(path, F.lit(base), F.lit("")).alias("relative_path"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), text.alias("text"))
+    shown = rows.select(path.alias("source_path"), relative.alias("relative_path"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), text.alias("text"))
+    return shown.where(F.col("relative_path").rlike(markdown.mask_pattern(mask)) & ~F.col("relative_path").rlike(r"(^|/)\."))
 
 
-def apply_batch(store: SnapshotStore, collection_id: str, name: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that upserts a batch's documents and chunks."""
-    mark = f"stream:{collection_id}"
+def apply_batch(engine: Engine, collection_id: str, name: str, stream: str = "") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that brings a batch's documents into the index; ``stream`` names the stream whose numbers it counts."""
+    mark = f"stream:{collection_id}:{stream}"
 
     def apply(batch: DataFrame, number: int) -> None:
-        manifest = store.manifest()
-        if number <= int(manifest["metadata"].get(mark, -1)):
+        if number <= int(engine.store.manifest()["metadata"].get(mark, -1)):
             return
         latest = batch.groupBy("relative_path").agg(F.max_by(F.struct("source_path", "updated_at", "text"), "updated_at").alias("f")).select("relative_path", "f.*")
-        parsed = markdown.parse_markdown(latest.withColumn("collection_id", F.lit(collection_id)).withColumn("collection_name", F.lit(name)).withColumn("context_text", F.lit(""))).persist()
-        documents, chunks = store.read("documents", manifest), store.read("chunks", manifest)
-        changes = document_changes(parsed, documents.join(parsed.select("doc_id"), "doc_id", "left_semi")).where("change != 'same'")
-        fresh = parsed.join(changes, "doc_id", "left_semi")
-        kept = without_documents(chunks, changes)
-        base = kept.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        rows = markdown.chunk_rows(fresh).withColumn("id", F.lit(base) + 1 + F.monotonically_increasing_id())
-        staged = {
-            "documents": store.stage("documents", without_documents(documents, changes).unionByName(fresh.select(documents.columns))),
-            "chunks": store.stage("chunks", kept.unionByName(rows.select(chunks.columns)), ["doc_id"]),
-        }
-        store.publish(staged, metadata={mark: str(number)})
-        parsed.unpersist()
+        parsed = engine.parse(latest, collection_id, name)
+        stored = engine.store.read("documents").join(parsed.select("doc_id"), "doc_id", "left_semi")
+        engine.update(parsed, document_changes(parsed, stored), {mark: str(number)})
 
     return apply
 
 
-def start(files: DataFrame, store: SnapshotStore, checkpoint: str, collection_id: str, name: str) -> StreamingQuery:
+def start(files: DataFrame, engine: Engine, checkpoint: str, collection_id: str, name: str) -> StreamingQuery:
     """Runs the stream over all files that are there and ends."""
-    return files.writeStream.foreachBatch(apply_batch(store, collection_id, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(apply_batch(engine, collection_id, name, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
