@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellumdex.plans import incremental_queries, retrieval_queries
+from vellumdex.plans import engine_queries, incremental_queries, retrieval_queries
 
-QUERIES = {**retrieval_queries.QUERIES, **incremental_queries.QUERIES}
-ORACLES = {**retrieval_queries.ORACLES, **incremental_queries.ORACLES}
+QUERIES = {**retrieval_queries.QUERIES, **incremental_queries.QUERIES, **engine_queries.QUERIES}
+ORACLES = {**retrieval_queries.ORACLES, **incremental_queries.ORACLES, **engine_queries.ORACLES}

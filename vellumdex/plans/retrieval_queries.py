@@ -416,9 +416,13 @@ def extract_links(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(markdown.links_of(F.col("text")), " ").alias("links"))
 
 
-@query()
+_TAG_LETTER = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+
+
+@query(f"select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^{_TAG_LETTER}])(#[{_TAG_LETTER}\\-]+)', 1))), ' ') as tags from documents where text is not null")
 def extract_tags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", markdown.tags_of(F.col("text")).alias("found_tags"))
+    """Hash tags of every document, each once, sorted."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(markdown.tags_of(F.col("text")), " ").alias("tags"))
 
 
 @query("select id, case when length(s) <= 180 then s else s[1:177] || '...' end as snippet from (select id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as s from chunks where text is not null)")
