@@ -24,11 +24,14 @@ def _engine(args: argparse.Namespace, embed: bool = True) -> Engine:
     return Engine(build_session(), str(Path(index).absolute()) if "://" not in index else index, registry, runtime)
 
 
+# The wording of reports in this module, which scripts read.
+
+
 def cmd_ingest(args) -> None:
     engine = _engine(args)
     chosen = engine.registry.one(args.collection) if args.collection else None
     if chosen:
-        engine.registry.set_paths(chosen.collection_id, engine.store.root, chosen.paths()[1])
+        engine.registry.set_paths(chosen.collection_id, engine.store.root, args.faiss_path or chosen.paths()[1])
     r = engine.ingest(chosen.root_path if chosen else args.source, args.collection, args.rebuild)
     print(f"Ingest complete: docs={r.documents}, chunks={r.chunks}, dim={r.embedding_dim}")
     print(f"Embedding: provider={r.embedding_provider}, model={r.embedding_model}")
@@ -54,6 +57,7 @@ def cmd_eval(args) -> None:
     if args.verbose:
         for r in details.orderBy("query_id").collect():
             print(f"- {r['query']}: recall@5={r['recall_at_5']:.4f} rr@10={r['rr_at_10']:.4f} ndcg@10={r['ndcg_at_10']:.4f}")
+            print(f"  expected: {', '.join(r['relevant_docs'])}\n  top results: {', '.join(r['top_results'] or [])}")
 
 
 def cmd_collection(args) -> None:
@@ -107,6 +111,7 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument("--collections-path", default=os.environ.get("VELLUMDEX_COLLECTIONS", DEFAULT_REGISTRY))
         if index:
             p.add_argument("--db-path")
+            p.add_argument("--faiss-path", help="where the collection keeps its vectors; kept in the registry, the index itself holds them as a table")
             p.add_argument("--collection")
         if embed:
             p.add_argument("--embedding", choices=["hash", "local", "remote"], default="hash")

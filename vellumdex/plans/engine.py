@@ -240,7 +240,8 @@ class Engine:
         found = self.search_batch(frame.select("query_id", "query"), top_k=10, collection=collection)
         ranked = found.select("query_id", evaluation.file_name(F.col("relative_path")).alias("name"), F.col("position").alias("rank"))
         details = materialize(evaluation.evaluate_rankings(frame, ranked))
-        return evaluation.summary(details), details.join(frame, "query_id")
+        top = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("top_results"))  # ten at most
+        return evaluation.summary(details), details.join(frame, "query_id").join(top, "query_id", "left")
 
     def status(self) -> DataFrame:
         """Documents, chunks and last ingest of every collection of the registry, by name."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_NAME, DEFAULT_MASK, DEFAULT_FOLDER = "default", "*.md", "data_index"
 COLLECTION_SCHEME = "collection://"
 
+# The fields of the registry's file.
 COLLECTIONS_SCHEMA = "collection_id string, name string, root_path string, db_path string, faiss_path string, mask string, include_by_default boolean, created_at string, updated_at string"
 CONTEXTS_SCHEMA = "context_id string, collection_id string, path_prefix string, text string, created_at string, updated_at string"
 
