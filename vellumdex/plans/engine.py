@@ -59,7 +59,7 @@ def without_documents(table: DataFrame, gone: DataFrame, key: str = "doc_id") ->
 class Engine:
     def __init__(self, spark: SparkSession, index: str, registry: Registry | None = None, runtime: Runtime | None = None):
         self.spark, self.store = spark, SnapshotStore(spark, index)
-        self.registry, self.runtime = registry or Registry("/dev/null"), runtime
+        self.registry, self.runtime = registry or Registry(), runtime
 
     # ---- ingest
 

@@ -44,7 +44,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[Engine, str, DataFrame]
     documents = table(spark, sf_dir, "documents").where("text is not null").withColumn("relative_path", path)
     write_files(documents, f"{uri}/files")
     root = folder.removeprefix("file://") + "/files"
-    registry = Registry("/dev/null")
+    registry = Registry()
     registry.add("documents", root, mask="**/*.md")
     engine = Engine(spark, f"{folder}/index", registry, resolve_embedder("hash"))
     engine.ingest(root, "documents")
