@@ -43,6 +43,10 @@ def test_documents_match_their_sql(spark, tables):
     assert found == by_sql("engine_documents", tables) and len(found) == 6
 
 
+def test_a_second_ingest_matches_its_sql(spark, tables):
+    assert by_spark(spark, "engine_delta", tables) == by_sql("engine_delta", tables) == [(4, 2, 2, True, True)]
+
+
 def test_a_registry_without_a_path_writes_nothing(tmp_path, monkeypatch):
     from vellumdex.sources.registry import Registry
 
