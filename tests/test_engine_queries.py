@@ -47,6 +47,11 @@ def test_a_second_ingest_matches_its_sql(spark, tables):
     assert by_spark(spark, "engine_delta", tables) == by_sql("engine_delta", tables) == [(4, 2, 2, True, True)]
 
 
+def test_a_search_matches_its_sql(spark, tables):
+    found = by_spark(spark, "engine_search", tables)
+    assert found == by_sql("engine_search", tables) and [r[0] for r in found] == [1, 3, 6]
+
+
 def test_a_registry_without_a_path_writes_nothing(tmp_path, monkeypatch):
     from vellumdex.sources.registry import Registry
 
