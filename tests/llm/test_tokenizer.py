@@ -57,3 +57,16 @@ def test_merging_matches_on_random_text():
     for t, n in zip(texts, counts):
         assert list(ids[at : at + n]) == want.encode_ordinary(t)
         at += n
+
+
+def test_lexicon_counts_the_words_of_all_documents(spark):
+    from pyspark import SparkFiles
+    from pyspark.sql import functions as F
+
+    word = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    file = K.build_lexicon(spark.range(12_000).select(word.alias("text")))
+    words = ["".join("abcdefghij"[int(d)] for d in str(i)).encode() for i in range(12_000)]
+    assert (K.Lexicon.open(SparkFiles.get(file)).find(words) >= 0).all()
+    often = spark.range(12_000).select(F.concat_ws(" ", word, F.when(F.col("id") < 600, F.lit("z"))).alias("text"))
+    found = K.Lexicon.open(SparkFiles.get(K.build_lexicon(often, words=1))).find([b" z", b"a", b"b"])
+    assert (found >= 0).tolist() == [True, False, False]

@@ -1,6 +1,6 @@
 """Encoding a corpus with a public byte-level BPE vocabulary through a word lexicon.
 
-The words that a sample of the corpus uses most are compiled, with their ids, into a minimal acyclic
+The words that a corpus uses most are compiled, with their ids, into a minimal acyclic
 transducer. It is written once to the shared folder, served by Spark to every executor
 and memory-mapped by the Python workers, so that all workers of a machine share one copy.
 A word that is not in it is merged exactly, by the ranks of the vocabulary. The ids are
@@ -31,8 +31,6 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how the public vocabulary splits text before merging.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Documents that the lexicon's words are counted in, about; all of them if there are no more.
-LEXICON_DOCUMENTS = 10_000
 #: Words compiled into the lexicon, and the longest that may enter it in bytes.
 LEXICON_WORDS = 50_000
 LEXICON_WORD_BYTES = 48
@@ -305,18 +303,15 @@ def count_words(documents: DataFrame, text: str = "text") -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(documents: DataFrame, text: str = "text", words: int = LEXICON_WORDS, vocabulary: str | None = None, most: int = LEXICON_DOCUMENTS) -> str:
-    """Compiles the most frequent words of about ``most`` documents and publishes the file; its name.
+def build_lexicon(documents: DataFrame, text: str = "text", words: int = LEXICON_WORDS, vocabulary: str | None = None) -> str:
+    """Compiles the most frequent words of all texts and publishes the file; its name.
 
-    The sample is bounded, since the lexicon only saves merging: no id depends on it. It is drawn by
-    a hash of the text, and its words are counted by the tasks.
+    Every text is counted, so that the words and the count from which they enter are those of the whole corpus.
     Words are binned by the logarithm of their count, and as many of the upper bins enter as
     hold no more than ``words`` together. Only these come to the driver.
     """
     merger = Merger(load_ranks(vocabulary or default_vocabulary()))
-    n, space = documents.count(), 1 << 20
-    sample = documents if n <= most else documents.where(F.pmod(F.xxhash64(F.lit(3), F.col(text)), F.lit(space)) < space * most // n)
-    counts = written(count_words(sample, text).withColumn("bin", F.floor(F.log2("n") * 16).cast("int")))
+    counts = written(count_words(documents, text).withColumn("bin", F.floor(F.log2("n") * 16).cast("int")))
     first, left = None, words
     for r in sorted(counts.groupBy("bin").count().collect(), reverse=True):
         if r["count"] > left:
