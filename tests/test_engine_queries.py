@@ -47,6 +47,47 @@ def test_a_second_ingest_matches_its_sql(spark, tables):
     assert by_spark(spark, "engine_delta", tables) == by_sql("engine_delta", tables) == [(4, 2, 2, True, True)]
 
 
+@pytest.mark.parametrize(
+    "documents, want",
+    [
+        ([], (0, 0, 0, True, True)),
+        ([(1, "A", None, "en", "web")], (0, 0, 0, True, True)),
+        ([(1, "A", "alpha", None, "web"), (2, "B", "beta", None, None)], (0, 0, 2, True, True)),
+        ([(1, "A", "alpha", None, "web"), (2, "B", " ", "de", "web")], (1, 0, 1, True, True)),
+    ],
+    ids=["no rows", "no texts", "no files left", "no chunks left"],
+)
+def test_a_second_ingest_that_leaves_nothing_matches_its_sql(spark, tmp_path, documents, want):
+    spark.createDataFrame(documents, "doc_id bigint, collection_id string, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert by_spark(spark, "engine_delta", str(tmp_path)) == [want] == by_sql("engine_delta", str(tmp_path))
+
+
+def test_files_are_deleted_once_by_a_task_that_runs_twice(spark, tmp_path):
+    from vellumdex.plans.engine_queries import write_files
+
+    rows = spark.createDataFrame([("A/1.md", "alpha"), ("A/2.md", "beta")], "relative_path string, text string")
+    gone = rows.selectExpr("relative_path", "if(text = 'alpha', text, null) as text")
+    assert [write_files(x, f"file://{tmp_path}") for x in (rows, gone, gone)] == [2, 2, 2]
+    assert [p.name for p in (tmp_path / "A").iterdir()] == ["1.md"]
+
+
+def test_a_folder_without_files_is_an_error_unless_allowed(spark, tmp_path):
+    from vellumdex.functions.providers import resolve_embedder
+    from vellumdex.plans.engine import Engine
+
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    (folder / "a.md").write_text("alpha")
+    engine = Engine(spark, f"{tmp_path}/index", None, resolve_embedder("hash"))
+    engine.ingest(str(folder))
+    (folder / "a.md").unlink()
+    with pytest.raises(FileNotFoundError):
+        engine.ingest(str(folder))
+    assert engine.search("alpha", "fulltext").count() == 1
+    report = engine.ingest(str(folder), allow_empty=True)
+    assert (report.documents, report.chunks, report.deleted_documents) == (0, 0, 1) and engine.search("alpha").count() == 0
+
+
 def test_a_search_matches_its_sql(spark, tables):
     found = by_spark(spark, "engine_search", tables)
     assert found == by_sql("engine_search", tables) and [r[0] for r in found] == [1, 3, 6]

@@ -71,17 +71,18 @@ class Engine:
             return chosen
         return self.registry.by_root(source) or self.registry.ensure(source)
 
-    def ingest(self, source: str, collection: str | None = None, rebuild: bool = False) -> IngestReport:
+    def ingest(self, source: str, collection: str | None = None, rebuild: bool = False, allow_empty: bool = False) -> IngestReport:
         """Brings the index up to date with a folder: changed documents anew, deleted ones out.
 
         Only changed documents are chunked into the index and only content without a cached
         vector is embedded; what did not change is not written again. Everything is staged first and
-        becomes current in one step.
+        becomes current in one step. A folder without files is an error, since it may just not be
+        mounted; with ``allow_empty`` all documents are taken out then.
         """
         chosen = self._target(source, collection)
         files = markdown.scan_markdown(self.spark, tidy_path(source, True), chosen.mask)
         parsed = self.parse(files, chosen.collection_id, chosen.name)
-        if parsed.isEmpty():
+        if not allow_empty and parsed.isEmpty():
             raise FileNotFoundError(f"no files match {chosen.mask} in {source}")
         stored = self.spark.createDataFrame([], SCHEMAS["documents"]) if rebuild else self.store.read("documents")
         changes = document_changes(parsed, stored.where(F.col("collection_id") == chosen.collection_id))

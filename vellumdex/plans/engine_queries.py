@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -18,7 +19,10 @@ from vellumdex.sources.registry import Registry
 
 
 def write_files(rows: DataFrame, root: str) -> int:
-    """Writes each row ``relative_path, text`` as a file below ``root``, or deletes the file where the text is null; the number of rows."""
+    """Writes each row ``relative_path, text`` as a file below ``root``, or deletes the file where the text is null; the number of rows.
+
+    The folder ``root`` is there afterwards even without rows, and a task that runs again finds nothing amiss in what it did before.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = fs.FileSystem.from_uri(root)
@@ -26,13 +30,16 @@ def write_files(rows: DataFrame, root: str) -> int:
             for path, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 place = f"{base}/{path}"
                 if text is None:
-                    where.delete_file(place)
+                    with contextlib.suppress(FileNotFoundError):
+                        where.delete_file(place)
                     continue
                 where.create_dir(place.rpartition("/")[0], recursive=True)
                 with where.open_output_stream(place) as stream:
                     stream.write(text.encode("utf-8"))
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
 
+    whole, top = fs.FileSystem.from_uri(root)
+    whole.create_dir(top, recursive=True)
     return rows.select("relative_path", "text").mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
@@ -47,7 +54,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[Engine, str, DataFrame]
     registry = Registry()
     registry.add("documents", root, mask="**/*.md")
     engine = Engine(spark, f"{folder}/index", registry, resolve_embedder("hash"))
-    engine.ingest(root, "documents")
+    engine.ingest(root, "documents", allow_empty=True)
     return engine, uri, documents
 
 
@@ -62,9 +69,9 @@ def engine_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, uri, documents = _ingested(spark, sf_dir)
     write_files(documents.where("lang is null").withColumn("text", F.lit(None).cast("string")), f"{uri}/files")
     write_files(documents.where("lang is not null and source is null").withColumn("text", F.concat("text", F.lit(" again"))), f"{uri}/files")
-    report = engine.ingest(engine.registry.one("documents").root_path, "documents")
+    report = engine.ingest(engine.registry.one("documents").root_path, "documents", allow_empty=True)
     chunks = engine.store.read("chunks")
-    counts = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("id").alias("ids"), F.sum("token_count").alias("tokens"))
+    counts = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("id").alias("ids"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
     scalars = engine.store.corpus()
     named = counts.join(scalars, F.col("doc_count") == F.col("chunks"), "left")
     return named.select(
