@@ -93,6 +93,20 @@ def test_a_search_matches_its_sql(spark, tables):
     assert found == by_sql("engine_search", tables) and [r[0] for r in found] == [1, 3, 6]
 
 
+@pytest.mark.parametrize(
+    "documents, want",
+    [
+        ([], []),
+        ([(1, "A", None, "en", "web")], []),
+        ([(1, "A", "zq1mark zq2mark", "en", "web"), (2, "B", "zq1mark", "en", "web")], [(1, 1, "A/marked.md", 1), (2, 1, "B/marked.md", 1)]),
+    ],
+    ids=["no rows", "no texts", "words like those searched"],
+)
+def test_a_search_of_odd_tables_matches_its_sql(spark, tmp_path, documents, want):
+    spark.createDataFrame(documents, "doc_id bigint, collection_id string, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert by_spark(spark, "engine_search", str(tmp_path)) == want == by_sql("engine_search", str(tmp_path))
+
+
 def test_a_registry_without_a_path_writes_nothing(tmp_path, monkeypatch):
     from vellumdex.sources.registry import Registry
 

@@ -81,11 +81,14 @@ def engine_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the engine finds for a word which one file of each collection holds, one word for each collection."""
+    """The documents that the engine finds for a word which one file of each collection holds, one word for each collection.
+
+    The words begin with a random number, so that no document of the test data can hold one.
+    """
     engine, uri, documents = _ingested(spark, sf_dir)
-    words = documents.groupBy("collection_id").agg(F.min("doc_id").alias("doc_id")).select("collection_id", F.concat(F.lit("zq"), F.col("doc_id"), F.lit("mark")).alias("query"), F.col("doc_id").alias("query_id"), F.concat_ws("/", "collection_id", F.lit("marked.md")).alias("relative_path"))
+    words = documents.groupBy("collection_id").agg(F.min("doc_id").alias("doc_id")).select("collection_id", F.concat(F.lit(f"zq{uuid.uuid4().hex}n"), F.col("doc_id"), F.lit("mark")).alias("query"), F.col("doc_id").alias("query_id"), F.concat_ws("/", "collection_id", F.lit("marked.md")).alias("relative_path"))
     write_files(words.select("relative_path", F.concat(F.lit("Some words beside "), F.col("query"), F.lit(" and after it")).alias("text")), f"{uri}/files")
-    engine.ingest(engine.registry.one("documents").root_path, "documents")
+    engine.ingest(engine.registry.one("documents").root_path, "documents", allow_empty=True)
     found = engine.search_batch(words.select("query_id", "query"), "fulltext", 5)
     return found.select("query_id", "position", "relative_path", "bm25_rank")
 
